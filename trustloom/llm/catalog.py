@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustloom.llm import byte_bpe, line_dedup, near_dup, repeats, token_files
+from trustloom.llm import byte_bpe, chat_format, line_dedup, near_dup, repeats, secrets, token_files
 from trustloom.llm._shared import documents
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.read_back(chat_format.format_turns(rows))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(documents(spark, sf_dir)))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
@@ -35,6 +44,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_secrets": op2_secrets,
     "op4_near_dup": op4_near_dup,
     "op5_token_files": op5_token_files,
     "op7_repeats": op7_repeats,
@@ -43,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat_format.SQL,
     "op4_near_dup": near_dup.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
