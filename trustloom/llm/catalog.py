@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustloom.llm import byte_bpe, chat_format, line_dedup, near_dup, repeats, secrets, token_files
+from trustloom.llm import byte_bpe, chat_format, i_match, line_dedup, near_dup, repeats, secrets, token_files
 from trustloom.llm._shared import documents
 
 
@@ -19,6 +19,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, sf_dir)))
 
 
+def op3_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return i_match.compare_edited(documents(spark, sf_dir))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
@@ -46,6 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secrets": op2_secrets,
+    "op3_i_match": op3_i_match,
     "op4_near_dup": op4_near_dup,
     "op5_token_files": op5_token_files,
     "op7_repeats": op7_repeats,
