@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import pieces, utf8
@@ -294,10 +294,10 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
     return df.withColumn(text_col, text(F.col(ids_col)))
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Digests of every text's ids and of the bytes that they decode to, in one pass without shuffles.
 
-    id_col, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256.
+    id_col, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256; with_ids: and ids.
     """
     held, kind = _shared_ranks(df, path), df.schema[id_col].dataType
 
@@ -306,8 +306,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             offsets, data = utf8(batch.column(1))
             for row, at, part in pieces(offsets, data):
-                counts, ids_hex, decoded_hex = [], [], []
+                counts, ids_hex, decoded_hex, all_ids = [], [], [], []
                 for _, ids in codec.encode_rows(at, part):
+                    if with_ids:
+                        all_ids.append(ids)
                     ids = ids.tolist()
                     counts.append(len(ids))
                     ids_hex.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
@@ -316,6 +318,9 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                         digest.update(machine.feed(codec.decode(ids[k : k + (1 << 16)])).encode())
                     digest.update(machine.close().encode())
                     decoded_hex.append(digest.hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [batch.column(0).slice(row, len(counts)), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(all_ids).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")

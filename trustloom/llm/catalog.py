@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustloom.llm import byte_bpe, chat_format, decontaminate, i_match, line_dedup, near_dup, repeats, secrets, token_files
+from trustloom.llm import byte_bpe, chat_format, decontaminate, i_match, lang_id, line_dedup, near_dup, repeats, secrets, token_files
 from trustloom.llm._shared import documents
 
 
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_on_file(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predict(documents(spark, sf_dir))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir), length=400, digest=True)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_i_match": op3_i_match,
     "op4_near_dup": op4_near_dup,
     "op5_token_files": op5_token_files,
+    "op6_lang_id": op6_lang_id,
     "op7_repeats": op7_repeats,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,

@@ -148,10 +148,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(confirmed, "line").where("id > keeper").groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, digest: bool = False) -> DataFrame:
-    """id, n_lines, n_dropped and kept_text (with ``digest``: kept_sha256 instead)."""
-    kind = docs.schema[id_col].dataType
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns in keep, n_lines, n_dropped and kept_text (with ``digest``: kept_sha256 instead)."""
     last = "kept_sha256" if digest else "kept_text"
+    names = [id_col, *keep]
+    fields = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names)
 
     def run(batches):
         for batch in batches:
@@ -170,11 +171,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 else:
                     lost.append(0)
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_lines", "n_dropped", last])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", last])
 
-    drops = dropped_lines(docs, id_col, text_col, least).withColumnRenamed("id", id_col)
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(drops, id_col, "left").select(id_col, "text", "lines")
-    return rows.mapInArrow(run, f"{id_col} {kind.simpleString()}, n_lines long, n_dropped long, {last} string")
+    drops = dropped_lines(docs, id_col, text_col, least).toDF("__id", "__lines")
+    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).join(drops, F.col(id_col) == F.col("__id"), "left")
+    return rows.select(id_col, "__text", "__lines", *keep).mapInArrow(run, f"{fields}, n_lines long, n_dropped long, {last} string")
 
 
 #: DuckDB SQL for the rows of op9.
