@@ -1,15 +1,76 @@
-"""Cleans the documents table in stages, each written as Parquet and read again by the next."""
+"""Cleans the documents table in stages, each written as Parquet and read again by the next.
+
+All stages but the last return the columns that they get.  Languages are
+learned from the labelled documents that the stage is given; a stage's
+statistics and candidates cover all of its input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trustloom.llm import byte_bpe, decontaminate, lang_id, line_dedup, near_dup
+from trustloom.llm._shared import written
+
+#: A document goes if no learned language reaches this mean probability.
+LEAST_SCORE = 0.3
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Columns with a prefix of their own, so that none clashes with an operator's."""
+    return docs.toDF(*[f"in_{c}" for c in docs.columns])
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"in_{c}").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the learned languages, go."""
+    model = lang_id.train(docs)
+    rows = _named(docs)
+    found = lang_id.identify(rows, model, "in_doc_id", "in_text", tuple(c for c in rows.columns if c != "in_doc_id"))
+    return _back(found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines that a document with a smaller id keeps; n_chars follows the text."""
+    rows = _named(docs)
+    found = line_dedup.dedup_lines(rows, "in_doc_id", "in_text", keep=tuple(c for c in rows.columns if c not in ("in_doc_id", "in_text")))
+    found = found.withColumn("in_text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("in_n_chars", F.length("in_text"))
+    return _back(found, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    gone = near_dup.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a run of a benchmark item go."""
+    gone = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of what is left."""
+    import public_tokenizers
+
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("tokens", tokens)]
 
-#: SQL can't express language identification by a trained network.
+#: SQL can't express identification by a trained network; the rows are tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
