@@ -71,8 +71,8 @@ def token_vectors(spark, d):
     return B.embeddings(spark, d).where("sample_idx < 40").select(F.col("prompt_id").cast("long"), F.floor(F.col("sample_idx") / 8).cast("int").alias("sample_idx"), (F.col("sample_idx") % 8).alias("token_idx"), "vec")
 
 
-@query("bert_score", "B3", f"""WITH {E1}, v AS (SELECT prompt_id, sample_idx // 8 AS s, sample_idx % 8 AS t, vec FROM e1 WHERE sample_idx < 40),
-c AS (SELECT a.prompt_id, b.s, a.t AS i, b.t AS j, list_dot_product(a.vec, b.vec) AS dot FROM v a JOIN v b ON a.prompt_id = b.prompt_id WHERE a.s = 0 AND b.s > 0),
+@query("bert_score", "B3", f"""WITH {E1}, v AS (SELECT prompt_id, sample_idx // 8 AS s, sample_idx % 8 AS t, vec FROM e1 WHERE sample_idx % 1000 < 40),
+c AS MATERIALIZED (SELECT a.prompt_id, b.s, a.t AS i, b.t AS j, list_dot_product(a.vec, b.vec) AS dot FROM v a JOIN v b ON a.prompt_id = b.prompt_id WHERE a.s = 0 AND b.s > 0),
 re AS (SELECT prompt_id, s, avg(m) AS rv FROM (SELECT prompt_id, s, i, max(dot) AS m FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
 pe AS (SELECT prompt_id, s, avg(m) AS pv FROM (SELECT prompt_id, s, j, max(dot) AS m FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT prompt_id, round(sum(f) / count(f), 6) AS bert_score FROM (SELECT re.prompt_id, 2.0::DOUBLE * (pv * rv) / (pv + rv) AS f FROM re JOIN pe ON re.prompt_id = pe.prompt_id AND re.s = pe.s) GROUP BY 1""")
