@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(0x5EED)
 #: A random odd 64-bit value for each byte value.
@@ -149,7 +149,3 @@ def gather(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
         return pool[:0]
     shift = begin - (np.cumsum(length) - length)
     return pool[np.repeat(shift, length) + np.arange(total)]
-
-
-def rows_table(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(x)) for x in names]

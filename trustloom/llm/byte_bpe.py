@@ -47,7 +47,9 @@ class MergeTransducer:
     """Encodes byte strings as merging by ascending rank would."""
 
     #: States are forgotten all at once beyond this many.
-    MOST_STATES = 300_000
+    MOST_STATES = 120_000
+    #: Pairs of tokens whose fit is remembered.
+    MOST_PAIRS = 300_000
     #: Bytes of one pre-token between looks at what can be emitted.
     STRIDE = 2048
 
@@ -56,7 +58,7 @@ class MergeTransducer:
         self.text = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._trie()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._forget()
 
     def _trie(self) -> None:
@@ -87,7 +89,7 @@ class MergeTransducer:
     def _forget(self) -> None:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.moves: list[dict[int, int]] = []
+        self.moves: dict[int, int] = {}  # by state * 256 + byte
         self.last: list[int] = []
         self.start = self._state(0, (-1,))
 
@@ -97,7 +99,6 @@ class MergeTransducer:
         if s is None:
             s = self.states[key] = len(self.keys)
             self.keys.append(key)
-            self.moves.append({})
             self.last.append(window[-1])
         return s
 
@@ -112,11 +113,12 @@ class MergeTransducer:
     def fits(self, before: int, token: int) -> bool:
         if before < 0:
             return True
-        found = self._fits.get((before, token))
+        pair = before << 32 | token
+        found = self._fits.get(pair)
         if found is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > self.MOST_PAIRS:
                 self._fits.clear()
-            found = self._fits[before, token] = self._merged(self.text[before] + self.text[token]) == [before, token]
+            found = self._fits[pair] = self._merged(self.text[before] + self.text[token]) == [before, token]
         return found
 
     def _move(self, state: int, byte: int) -> int:
@@ -135,7 +137,7 @@ class MergeTransducer:
         deep = self.depth[node]
         kept = window[len(window) - deep :] + (self.token[t],)
         new = self._state(node, kept)
-        self.moves[state][byte] = new
+        self.moves[state << 8 | byte] = new
         return new
 
     def encode(self, text: bytes) -> list[int]:
@@ -145,7 +147,7 @@ class MergeTransducer:
         ends: list[int] = []  # the last token of each prefix of what isn't emitted
         s, moves, last = self.start, self.moves, self.last
         for i, b in enumerate(text):
-            n = moves[s].get(b)
+            n = moves.get(s << 8 | b)
             s = n if n is not None else self._move(s, b)
             ends.append(last[s])
             if len(ends) >= self.STRIDE and not i % 256:
@@ -213,7 +215,7 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.transducer = MergeTransducer(ranks)
-        self.pool = TokenPool(self._encode_units, np.uint32 if max(ranks.values()) > 0xFFFF else np.uint16)
+        self.pool = TokenPool(self._encode_units, np.uint32 if max(ranks.values()) > 0xFFFF else np.uint16, most=300_000)
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
         self.bytes = [self.transducer.text.get(i, b"") for i in range(max(ranks.values()) + 1)]
 

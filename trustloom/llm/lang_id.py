@@ -205,9 +205,12 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
     """id, lang_pred, score and the columns in keep, of every row."""
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(letters.alias("__letters"), F.col(text_col).alias("__text"), id_col, *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    names = rows.columns[2:]
+    # a text that is kept travels once
+    names = [id_col, *keep]
+    extra = [] if text_col in names else [text_col]
+    rows = docs.select(letters.alias("__letters"), *names, *extra)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    at_text = 1 + [*names, *extra].index(text_col)
 
     def run(batches):
         languages, weights = held.value
@@ -215,7 +218,7 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
         for batch in batches:
             pred, score = [], []
             known = batch.column(0).to_pylist()
-            offsets, data = utf8(batch.column(1))
+            offsets, data = utf8(batch.column(at_text))
             for row, at, part in pieces(offsets, data):
                 chances = net.pooled(at, part) if languages else np.zeros((len(at) - 1, 1))
                 best = chances.argmax(axis=1)
@@ -223,7 +226,7 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
                     sure = known[row + k] and bool(languages)
                     pred.append(languages[b] if sure else UNKNOWN)
                     score.append(min(1.0, float(chances[k, b])) if sure else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
