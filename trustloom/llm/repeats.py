@@ -39,7 +39,7 @@ from trustloom.llm._bytes import BYTE_VALUES, INVERSES, POWERS, U64, mix, pieces
 from trustloom.llm._shared import written
 
 SAMPLE = 128
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 #: Bytes of contexts that are sorted at once.
 SORTED = 1 << 20
 _POSITION = U64((1 << 24) - 1)
@@ -128,7 +128,7 @@ def samples(offsets: np.ndarray, data: np.ndarray, length: int):
 
 def _segments(offsets: np.ndarray, data: np.ndarray, length: int):
     """Pieces, with long rows cut into overlapping parts: first row, where the part begins in its row, offsets, bytes."""
-    for row, at, part in pieces(offsets, data):
+    for row, at, part in pieces(offsets, data, SEGMENT):
         if len(part) <= SEGMENT:
             yield row, 0, at, part
         else:
