@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import pieces, utf8
 from trustloom.llm._units import OTHER_SCRIPT, TokenPool, hashed_units
+from trustloom.llm._worker import kept
 
 #: Fixed value: the pre-token pattern that the rank files go with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -250,15 +251,9 @@ class ByteBpe:
         yield machine.close()
 
 
-_held: dict[str, ByteBpe] = {}
-
-
 def _codec(broadcast) -> ByteBpe:
     name, ranks = broadcast.value
-    if name not in _held:
-        _held.clear()
-        _held[name] = ByteBpe(ranks)
-    return _held[name]
+    return kept(f"byte-bpe {name}", lambda: ByteBpe(ranks))
 
 
 def _shared_ranks(df: DataFrame, path: str):

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import utf8
 from trustloom.llm._shared import bucket_of, id_buckets, parallelism, written
+from trustloom.llm._worker import kept
 
 #: The band: ln(documents / documents with the term), and at least two documents.
 IDF_LOW, IDF_HIGH = 2.0, 7.0
@@ -132,14 +133,8 @@ class _Lexicon:
         return fingerprint(held, self.cells.__getitem__) if held else fingerprint(found)
 
 
-_held: dict[str, _Lexicon] = {}
-
-
 def _lexicon_of(broadcast) -> _Lexicon:
-    if broadcast.id not in _held:
-        _held.clear()
-        _held[broadcast.id] = _Lexicon(broadcast.value.split(b"\n") if broadcast.value else [])
-    return _held[broadcast.id]
+    return kept(f"lexicon {broadcast.id}", lambda: _Lexicon(broadcast.value.split(b"\n") if broadcast.value else []))
 
 
 class _Broadcast:

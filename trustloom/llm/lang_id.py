@@ -15,12 +15,15 @@ lang is read for training only, other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import pieces, utf8
+from trustloom.llm._worker import kept
 
 WINDOW = 96
 HIDDEN = 8
@@ -203,7 +206,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, lang_pred, score and the columns in keep, of every row."""
-    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.p))
+    held, name = docs.sparkSession.sparkContext.broadcast((model.languages, model.p)), uuid.uuid4().hex
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     # a text that is kept travels once
     names = [id_col, *keep]
@@ -214,7 +217,7 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
 
     def run(batches):
         languages, weights = held.value
-        net = ByteGru(languages, weights)
+        net = kept(f"net {name}", lambda: ByteGru(languages, weights))
         for batch in batches:
             pred, score = [], []
             known = batch.column(0).to_pylist()

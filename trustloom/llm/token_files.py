@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from trustloom.llm._bytes import LOWER, pieces, utf8
 from trustloom.llm._shared import bucket_of, fresh_path, id_buckets, parallelism
 from trustloom.llm._units import LETTER, MARK, WHITE, TokenPool, hashed_units
+from trustloom.llm._worker import kept
 
 # Fixed values of the public seekable format.
 SEEK_TABLE_MAGIC = 0x184D2A5E
@@ -154,15 +155,9 @@ class WordBpe:
             yield ids[ends[k] : ends[k + 1]]
 
 
-_held: dict[str, WordBpe] = {}
-
-
 def _codec(broadcast) -> WordBpe:
     name, text = broadcast.value
-    if name not in _held:
-        _held.clear()
-        _held[name] = WordBpe(text)
-    return _held[name]
+    return kept(f"word-bpe {name}", lambda: WordBpe(text))
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
