@@ -78,3 +78,30 @@ def test_question_answers(spark):
     answers = spark.createDataFrame(rows, "prompt_id long, claim_idx int, question_idx int, sample_idx int, text string")
     r = t.LongTextQuestions(t.SamplingScorer(["exact_match"], return_responses="none"), "exact_match").score(answers).data.first()
     assert r.score == 0.5 and len(r.claims_data) == 2
+
+
+def test_provider_settings_leave_out_secrets():
+    from tests.core.test_api import Client
+    from trustloom.sources import providers
+
+    held = providers.saved_settings(Client(0.3))
+    assert held["temperature"] == 0.3 and "api_key" not in held and "base_url" not in held
+    assert providers.restored(held).temperature == 0.3
+
+
+class Client:
+    def __init__(self, temperature):
+        self.temperature, self.api_key, self.base_url = temperature, "k", "http://localhost"
+
+
+def test_prompt_styles(spark):
+    from pyspark.sql import functions as F
+
+    from trustloom.functions import prompts
+
+    for style in prompts.DECOMPOSITION:
+        prompts.decomposition(F.lit("x"), style)
+    with pytest.raises(ValueError):
+        prompts.decomposition(F.lit("x"), "nope")
+    with pytest.raises(TypeError):
+        prompts.decomposition(F.lit("x"), 3)

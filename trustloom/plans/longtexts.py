@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustloom.functions import prompts
 from trustloom.functions import text as T
 from trustloom.operators import claim_graph as G
 from trustloom.operators import longform as L
@@ -163,3 +164,15 @@ def graph_laplacian(spark, d):
 def graph_iterated(spark, d):
     cells, sizes = cells_of(spark, d)
     return G.iterated(G.edges_of(cells), sizes)
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("long_text_prompts", "L13 L14 D9", f"""WITH {R2} SELECT prompt_id, {_q(prompts.DECOMPOSITION['mohri_2024'] + chr(10) * 2 + 'Text:' + chr(10))} || text AS decomposition, {_q(prompts.ENTAILMENT['binary'] + chr(10) * 2 + 'Claim: ')} || left(text, 20) || chr(10) || 'Source: ' || text AS entailment,
+ 'Write a question whose answer is stated by: ' || left(text, 20) AS question FROM r2 WHERE sample_idx = 0""")
+def long_text_prompts(spark, d):
+    text, claim = F.col("text"), F.substring("text", 1, 20)
+    rows = B.long_responses(spark, d).where("sample_idx = 0")
+    return rows.select("prompt_id", prompts.decomposition(text, "mohri_2024").alias("decomposition"), prompts.entailment(claim, text).alias("entailment"), L.question_prompt(claim).alias("question"))
