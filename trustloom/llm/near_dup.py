@@ -10,12 +10,14 @@ if 100 * intersection >= percent * union; components of links are the groups.
    the samples that fall on each bit.  The population count of two sketches'
    XOR shows how many samples differ; pairs that lie seven standard deviations
    beyond the threshold are put aside.
-4. Candidates of a band are not all its pairs.  Three rounds compare members
-   with one leader of their bucket (the smallest id; the member with most links;
-   a random one) and skip what is already connected; a last round compares what
-   is still apart, pair by pair inside the join, so that no link between
-   components is lost.  A bucket of more than ``hot`` members that is still
-   apart is first cut by each further band its members share.
+4. Candidates of a band are not all its pairs.  In three rounds every member
+   is compared with one leader of its buckets, the one with which it shares most
+   bands (leaders: the smallest id of a bucket; the member with most links; a
+   random one), and what is connected is skipped.  Then members of buckets that
+   are still apart are compared with all others of another component: in
+   buckets of up to ``small`` members by pairs, in larger ones by blocks, where
+   those outside of the bucket's largest component meet a block of its members
+   in one task, and only links leave it.
 5. Candidates are confirmed on the full sets, made again from the whole texts.
 
 Rows: null texts count as empty, and documents without words have an empty
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import U64, mix, pieces, shingles, utf8, words
-from trustloom.llm._shared import written
+from trustloom.llm._shared import parallelism, written
 from trustloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -137,18 +139,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     """
 
     def run(batches):
-        held, kept = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = []
-            for k, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if held != a[k]:
-                    held, kept = a[k], _one_set(left, width)
-                other = _one_set(right, width)
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                if 100 * both >= percent * (len(kept) + len(other) - both):
-                    found.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in found], pa.int64()) for x in (a, b)], names=["a", "b"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                a, b = (np.asarray(part.column(x)) for x in range(2))
+                ids, first = np.unique(np.concatenate([a, b]), return_index=True)
+                texts = pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(first))
+                sets: list[np.ndarray] = []
+                offsets, data = utf8(texts)
+                for _, at, piece in pieces(offsets, data):
+                    sets += _sets(at, piece, width)
+                left, right = np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist()
+                found = np.array([_linked(sets[x], sets[y], percent) for x, y in zip(left, right)], bool)
+                yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -157,9 +160,92 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _one_set(text: str, width: int) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return next(_sets(np.array([0, len(raw)]), raw, width))
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+BLOCK = 256
+
+
+def _links_in_cell(key: int, left: list[tuple], right: list[tuple], percent: int, limit: float) -> list[tuple[int, int]]:
+    """Links between two blocks of a bucket; rows are (rep, component, bands, minima, set), left ones are outside its main component."""
+    ids = [np.array([x[0] for x in side]) for side in (left, right)]
+    groups = [np.array([x[1] for x in side]) for side in (left, right)]
+    bands = [np.stack([x[2] for x in side]) for side in (left, right)]
+    main = {x[0] for x in left}
+    twice = np.array([x in main for x in ids[1].tolist()])
+    # a pair is looked at in the first bucket that it shares, and once where both are outside
+    shares = bands[0][:, None, :] == bands[1][None, :, :]
+    first = bands[0][np.arange(len(left))[:, None], shares.argmax(axis=2)] == key
+    open_ = first & (groups[0][:, None] != groups[1][None, :]) & ~(twice[None, :] & (ids[0][:, None] >= ids[1][None, :]))
+    if not open_.any():
+        return []
+    minima = [np.stack([x[3] for x in side]) for side in (left, right)]
+    agree = (minima[0][:, None, :] == minima[1][None, :, :]).sum(axis=2)
+    rows, columns = np.nonzero(open_ & (agree >= limit))
+    order = np.argsort(-agree[rows, columns], kind="stable")
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for r, c in zip(rows[order].tolist(), columns[order].tolist()):
+        a, b = root(int(groups[0][r])), root(int(groups[1][c]))
+        if a != b and _linked(left[r][4], right[c][4], percent):
+            parent[a] = b
+            out.append((int(ids[0][r]), int(ids[1][c])))
+    return out
+
+
+def _links_by_blocks(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between components inside large buckets: rest has (key, rep, component, size)."""
+    share = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
+    share = share.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("all") / BLOCK).cast("int").alias("inner"))
+    rows = rest.select("key", "rep", "component").join(share, "key")
+    spread = F.xxhash64("rep")
+    left = rows.where("component <> main").select("key", "rep", "component", F.lit(0).alias("side"), F.pmod(spread, "outer").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("y"))
+    right = rows.select("key", "rep", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"), F.pmod(spread, "inner").cast("int").alias("y"))
+
+    def sets(batches):
+        for batch in batches:
+            offsets, data = utf8(batch.column(2))
+            for row, at, part in pieces(offsets, data):
+                found = list(_sets(at, part, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), batch.column(1).slice(row, len(found)), pa.array([sample_minima(x).tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "bands", "minima", "shingles"])
+
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    wanted = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
+    full = written(wanted.join(texts, "rep").select("rep", "bands", "text").mapInArrow(sets, "rep long, bands array<long>, minima binary, shingles binary"), "sets")
+    # samples that a link agrees on, less seven standard deviations
+    likely = percent / 100
+    limit = SAMPLES * likely - 7 * math.sqrt(SAMPLES * likely * (1 - likely))
+
+    def run(batches):
+        held, sides = None, ([], [])
+        for batch in batches:
+            for key, x, y, side, rep, component, bands, minima, shingles_ in zip(*(batch.column(k).to_pylist() for k in range(9))):
+                if (key, x, y) != held:
+                    if held and sides[0] and sides[1]:
+                        yield found_in(held[0], sides)
+                    held, sides = (key, x, y), ([], [])
+                sides[side].append((rep, component, np.array(bands), np.frombuffer(minima, np.uint32), np.frombuffer(shingles_, np.uint64)))
+        if held and sides[0] and sides[1]:
+            yield found_in(held[0], sides)
+
+    def found_in(key, sides):
+        found = _links_in_cell(key, sides[0], sides[1], percent, limit)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    cells = left.union(right).join(full, "rep").select("key", "x", "y", "side", "rep", "component", "bands", "minima", "shingles")
+    return cells.repartition(parallelism(docs.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _with_component(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -174,7 +260,7 @@ def _apart(entries: DataFrame, leader) -> DataFrame:
     return entries.join(of, "key")
 
 
-def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", hot: int = 2000) -> tuple[DataFrame, DataFrame | None]:
+def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", small: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """(whole, rep) of each class, and (node, component) of the representatives that have links."""
     limit = sketch_limit(percent / 100)
     classes = written(sigs.where("n > 0 AND id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("rep")), "classes")
@@ -183,11 +269,16 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key"), "bands")
     sketches = reps.select("rep", "sketch")
-
     links, tested, groups = None, None, None
 
+    def joined(found: DataFrame) -> None:
+        nonlocal links, groups
+        links = found if links is None else links.union(found)
+        edges = found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = components(edges)
+
     def compare(pairs: DataFrame) -> None:
-        nonlocal links, tested, groups
+        nonlocal tested
         pairs = pairs.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -195,14 +286,8 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
         near = written(near.select("p.a", "p.b"), "candidates")
         if near.isEmpty():
             return
-        found = written(confirmed(near, docs, width, percent, id_col, text_col), "confirmed")
         tested = near if tested is None else tested.union(near)
-        links = found if links is None else links.union(found)
-        edges = found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = components(edges)
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        return rows.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+        joined(written(confirmed(near, docs, width, percent, id_col, text_col), "confirmed"))
 
     # leaders: the smallest id, then the member with most links, then a random one
     for turn in range(3):
@@ -219,14 +304,15 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
         if groups is not None:
             of = groups.select(F.col("node").alias("leader"), F.col("component").alias("its"))
             rows = rows.join(of, "leader", "left").where("component <> coalesce(its, leader)")
-        compare(ordered(rows))
+        nearest = rows.groupBy("rep", "leader").agg(F.count("*").alias("bands")).groupBy("rep").agg(F.max(F.struct("bands", "leader"))["leader"].alias("leader"))
+        compare(nearest.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
 
     rest = written(_apart(_with_component(entries, groups), F.min("rep")).select("key", "rep", "component", "size"), "apart")
-    # a hot bucket is cut by every other band: a link shares one of those but for a chance of (1 - 0.8**4)**31
-    large = rest.where(F.col("size") > hot)
-    cut = large.join(reps.select("rep", F.explode("bands").alias("band")), "rep").where("band <> key").select(F.xxhash64("key", "band").alias("key"), "rep", "component")
-    cells = rest.where(F.col("size") <= hot).select("key", "rep", "component").union(cut)
-    cells = cells.join(sketches, "rep")
+    large = rest.where(F.col("size") > small)
+    if not large.isEmpty():
+        joined(written(_links_by_blocks(large, reps, docs, width, percent, id_col, text_col), "block-links"))
+    cells = rest.where(F.col("size") <= small).drop("component", "size").join(sketches, "rep")
+    cells = _with_component(cells, groups)
     x, y = cells.alias("x"), cells.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", limit))
     compare(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
