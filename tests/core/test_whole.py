@@ -42,3 +42,16 @@ def test_all_claims_are_scored(spark, turns):
     kept = [c for k, c in enumerate(original) if unit[k] > 0.42]
     assert QUERIES["refined_responses"](spark, turns).first().refined_response == " ".join(kept) and kept[-1] == original[7]
     assert QUERIES["graph_degree"](spark, turns).count() == QUERIES["graph_iterated"](spark, turns).count() == 9
+
+
+def test_all_vectors_are_tokens(spark, tmp_path):
+    unit = [(1.0, 0.0), (0.0, 1.0), (0.6, 0.8), (0.8, 0.6), (-1.0, 0.0)]
+    vectors = [unit[(k * k + k // 7) % 5] for k in range(61)]
+    spark.createDataFrame([(k, list(v), 3) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    first, *others = [vectors[k : k + 8] for k in range(0, 61, 8)]
+    scores = []
+    for o in others:
+        dots = [[a[0] * b[0] + a[1] * b[1] for b in o] for a in first]
+        r, p = sum(map(max, dots)) / 8, sum(map(max, zip(*dots))) / len(o)
+        scores.append(2 * p * r / (p + r))
+    assert len(scores) == 7 and QUERIES["bert_score"](spark, str(tmp_path)).first().bert_score == pytest.approx(sum(scores) / 7, abs=1e-6)

@@ -67,8 +67,8 @@ def cosine_similarity(spark, d):
 
 
 def token_vectors(spark, d):
-    """Eight vectors of a label stand for the tokens of each of its answers."""
-    return B.embeddings(spark, d).where("sample_idx < 40").select(F.col("prompt_id").cast("long"), F.floor(F.col("sample_idx") / 8).cast("int").alias("sample_idx"), (F.col("sample_idx") % 8).alias("token_idx"), "vec")
+    """All vectors of a label, by eights, stand for the tokens of its answers."""
+    return B.embeddings(spark, d).select(F.col("prompt_id").cast("long"), F.floor(F.col("sample_idx") / 8).cast("int").alias("sample_idx"), (F.col("sample_idx") % 8).alias("token_idx"), "vec")
 
 
 @query("bert_score", "B3", f"""WITH {E1}, v AS (SELECT prompt_id, sample_idx // 8 AS s, sample_idx % 8 AS t, vec FROM e1 WHERE sample_idx % 1000 < 40),
