@@ -93,3 +93,13 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert found(spark, []) == {} == found(spark, ["a b c"], [(1, None)])
+
+
+def test_copies_in_any_case_are_found(spark):
+    names = "Anna Bruno Carla Dario Elena Fabio Greta Hugo Irene Jonas Karin Lars Maria Nils"
+    items = [(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, names)]
+    texts = [ITEMS[1][1].upper(), f"so {ITEMS[0][1].lower()} then", f"with {names} and others", names.lower(), ITEMS[1][1].title(), ITEMS[0][1][:60].upper() + ITEMS[0][1][60:]]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 2), (1, 1), (2, 3), (3, 3), (4, 2), (5, 1)} and all(r.exact and r.n_matched == r.n_item for r in got.values())
+    items = [(7, "Éai éonleeau pour an éonqueê aivi ai große éenaitreoiaux Москва éoiré anvitre èenreré être là")]
+    assert set(found(spark, [items[0][1].upper(), "so " + items[0][1].lower() + " là", "été"], items)) == {(0, 7), (1, 7)}

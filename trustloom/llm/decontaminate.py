@@ -2,8 +2,9 @@
 
 Texts are cut into tokens; numbers, units and capitalised words become typed
 placeholders.  Windows of 8 such tokens, at least 5 of them no placeholders,
-are hashed and joined with those of the benchmark.  Windows that follow each
-other at one alignment of document and item form a run, and along a run each
+are hashed and joined with those of the benchmark, and so are all windows of 8
+case-folded tokens as they are, whatever their kinds: so a copy is found in any
+case and with any share of names.  Windows that follow each other at one alignment of document and item form a run, and along a run each
 slot of the item must be filled in one way, and no two by one filling: so an
 item with other numbers and names is found, and text that only has its shape
 is not.  A run of 13 tokens, or of the whole item if it is shorter, is a leak.
@@ -23,6 +24,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,19 @@ def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
 
 
-def tokens(offsets: np.ndarray, data: np.ndarray):
-    """Of each token: its row, its kind, the hash of its lower-cased text, and the hash of its template."""
+def _folded(offsets: np.ndarray, data: np.ndarray):
+    """Offsets and bytes of the texts without case, in any script; every token stays one token."""
+    if not (data >= 128).any():
+        return offsets, LOWER[data]
+    text = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    text = pc.utf8_lower(text)
+    for one, other in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+        text = pc.replace_substring(text, one, other)
+    return utf8(text)
+
+
+def _inside_of(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to tokens."""
     inside = _INSIDE[data]
     if len(data) > 2:
         # a point or comma between digits belongs to the number
@@ -74,8 +87,16 @@ def tokens(offsets: np.ndarray, data: np.ndarray):
         cut = cut[(cut > 0) & (cut < len(data))]
         for edge in (cut, cut - 1):
             inside[edge] &= _INSIDE[data[edge]]
+    return inside
+
+
+def tokens(offsets: np.ndarray, data: np.ndarray):
+    """Of each token: its row, its kind, the hash of its case-folded text, and the hash of its template."""
+    inside = _inside_of(offsets, data)
     starts, rows = spans(inside, offsets)
-    raw = span_hashes(LOWER[data], starts, inside)
+    plain_offsets, folded = _folded(offsets, data)
+    held = _inside_of(plain_offsets, folded)
+    raw = span_hashes(folded, spans(held, plain_offsets)[0], held)
     if not len(starts):
         return rows, np.zeros(0, np.int8), raw, raw
     other = inside & ~_DIGIT[data] & (data != 0x2E) & (data != 0x2C)
@@ -89,8 +110,12 @@ def tokens(offsets: np.ndarray, data: np.ndarray):
     return rows, kind, raw, np.where(kind == WORD, raw, _SHAPE[kind])
 
 
-def windows(rows: np.ndarray, kind: np.ndarray, template: np.ndarray, n_rows: int):
-    """Hashes of the template windows, where each row's begin, which hold enough literal words."""
+def windows(rows: np.ndarray, kind: np.ndarray, raw: np.ndarray, template: np.ndarray, n_rows: int):
+    """Hashes of the windows to join, their rows and their places in them.
+
+    They are the template windows with enough literal words, and all windows of
+    case-folded tokens; the two are the same where no token is a placeholder.
+    """
     found, bounds = shingles(rows, template, n_rows, WINDOW)
     first = np.searchsorted(rows, np.arange(n_rows + 1))
     counts = np.diff(bounds)
@@ -98,7 +123,12 @@ def windows(rows: np.ndarray, kind: np.ndarray, template: np.ndarray, n_rows: in
     size = np.repeat(np.minimum(np.diff(first), WINDOW), counts)
     literal = np.concatenate([[0], np.cumsum(kind == WORD)])
     enough = literal[at + size] - literal[at] >= np.minimum(LITERALS, np.maximum(1, size - (WINDOW - LITERALS)))
-    return found, bounds, enough
+    # the same bounds: they follow from the numbers of tokens
+    folded, _ = shingles(rows, raw, n_rows, WINDOW)
+    row = np.repeat(np.arange(n_rows), counts)
+    place = np.arange(len(found)) - bounds[row]
+    keep = np.flatnonzero(enough & (found != folded))
+    return np.concatenate([found[keep], folded]), np.concatenate([row[keep], row]), np.concatenate([place[keep], place])
 
 
 class Benchmark:
@@ -110,12 +140,9 @@ class Benchmark:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         rows, self.kind, self.raw, template = tokens(offsets, data)
-        found, bounds, enough = windows(rows, self.kind, template, len(items))
+        found, item, place = windows(rows, self.kind, self.raw, template, len(items))
         self.first = np.searchsorted(rows, np.arange(len(items) + 1))
-        item = np.repeat(np.arange(len(items)), np.diff(bounds))
-        place = np.arange(len(found)) - bounds[item]
-        keep = np.flatnonzero(enough)
-        order = keep[np.argsort(found[keep], kind="stable")]
+        order = np.argsort(found, kind="stable")
         self.hashes, self.item, self.place = found[order], item[order], place[order]
         self.known = np.unique(self.hashes)
         self.table = np.zeros(1 << 20, bool)
@@ -125,7 +152,7 @@ class Benchmark:
         near = np.flatnonzero(self.table[(hashes >> U64(44)).astype(np.int64)])
         return near[_among(hashes[near], self.known)]
 
-    def leaks(self, kind: np.ndarray, raw: np.ndarray, places: np.ndarray, hashes: np.ndarray, run: int = RUN):
+    def leaks(self, raw: np.ndarray, places: np.ndarray, hashes: np.ndarray, run: int = RUN):
         """(item id, tokens of the longest run, tokens of the item, whether no slot is filled anew), for one document."""
         lined: dict[tuple[int, int], list[int]] = defaultdict(list)
         low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
@@ -135,13 +162,13 @@ class Benchmark:
         best: dict[int, tuple[int, bool]] = {}
         for (item, shift), found in lined.items():
             begin, total = int(self.first[item]), int(self.first[item + 1] - self.first[item])
-            length, exact = self._longest(kind, raw, sorted(set(found)), begin - shift, min(total, WINDOW))
+            length, exact = self._longest(raw, sorted(set(found)), begin - shift, min(total, WINDOW))
             if length >= min(run, total) and (length, exact) > best.get(item, (0, False)):
                 best[item] = (length, exact)
         for item, (length, exact) in sorted(best.items()):
             yield self.ids[item], length, int(self.first[item + 1] - self.first[item]), exact
 
-    def _longest(self, kind, raw, places: list[int], shift: int, size: int) -> tuple[int, bool]:
+    def _longest(self, raw, places: list[int], shift: int, size: int) -> tuple[int, bool]:
         best, length, exact, last = (0, False), 0, True, None
         there: dict = {}
         back: dict = {}
@@ -150,7 +177,7 @@ class Benchmark:
                 length, exact, there, back = 0, True, {}, {}
                 last = p
             for at in range(last, p + size):
-                doc, own, sort = int(raw[at]), int(self.raw[at + shift]), int(kind[at])
+                doc, own, sort = int(raw[at]), int(self.raw[at + shift]), int(self.kind[at + shift])
                 if sort != WORD:
                     if there.get((sort, own), doc) != doc or back.get((sort, doc), own) != own:
                         length, exact, there, back = 0, True, {}, {}
@@ -183,15 +210,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 rows_out = []
                 for row, at, part in pieces(offsets, data):
                     rows, sort, raw, template = tokens(at, part)
-                    found, bounds, enough = windows(rows, sort, template, len(at) - 1)
+                    found, which, place = windows(rows, sort, raw, template, len(at) - 1)
                     hits = bench.matches(found)
-                    hits = hits[enough[hits]]
+                    hits = hits[np.argsort(which[hits], kind="stable")]
                     first = np.searchsorted(rows, np.arange(len(at)))
-                    which = np.searchsorted(bounds, hits, "right") - 1
-                    for k in np.unique(which).tolist():
-                        own = hits[which == k]
+                    held_by, begins = np.unique(which[hits], return_index=True)
+                    for k, own in zip(held_by.tolist(), np.split(hits, begins[1:])):
                         tokens_of = slice(int(first[k]), int(first[k + 1]))
-                        for leak in bench.leaks(sort[tokens_of], raw[tokens_of], own - bounds[k], found[own]):
+                        for leak in bench.leaks(raw[tokens_of], place[own], found[own]):
                             rows_out.append((row + k, *leak))
                 n = [x[3] for x in rows_out]
                 columns = [pa.array([x[c] for x in rows_out], types[c]) for c in range(5)]
