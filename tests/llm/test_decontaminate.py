@@ -103,3 +103,57 @@ def test_copies_in_any_case_are_found(spark):
     assert set(got) == {(0, 2), (1, 1), (2, 3), (3, 3), (4, 2), (5, 1)} and all(r.exact and r.n_matched == r.n_item for r in got.values())
     items = [(7, "Éai éonleeau pour an éonqueê aivi ai große éenaitreoiaux Москва éoiré anvitre èenreré être là")]
     assert set(found(spark, [items[0][1].upper(), "so " + items[0][1].lower() + " là", "été"], items)) == {(0, 7), (1, 7)}
+
+
+def brute_sub_runs(texts, items):
+    """Longest consistent run over all alignments and all sub-runs of what windows of either sort cover."""
+    out = {}
+    for doc, text in enumerate(texts):
+        a = [(k, w.lower()) for k, w in brute_tokens(text)]
+        for item, said in items:
+            b = [(k, w.lower()) for k, w in brute_tokens(said)]
+            size = min(d.WINDOW, len(b))
+            if not b or (size < d.WINDOW and len(a) != len(b)):
+                continue
+            need = min(d.LITERALS, max(1, size - (d.WINDOW - d.LITERALS)))
+            for shift in range(-len(b), len(a) + 1):
+                covered = set()
+                for p in range(max(0, shift), min(len(a), len(b) + shift) - size + 1):
+                    x, y = a[p : p + size], b[p - shift : p - shift + size]
+                    shape = all(i[0] == j[0] and (i[0] != d.WORD or i == j) for i, j in zip(x, y)) and sum(i[0] == d.WORD for i in x) >= need
+                    if shape or [w for _, w in x] == [w for _, w in y]:
+                        covered.update(range(p, p + size))
+                for begin in covered:
+                    there, back, p = {}, {}, begin
+                    while p in covered:
+                        kind, own = b[p - shift]
+                        if kind != d.WORD and (there.setdefault((kind, own), a[p][1]) != a[p][1] or back.setdefault((kind, a[p][1]), own) != own):
+                            break
+                        p += 1
+                    out[doc, item] = max(out.get((doc, item), 0), p - begin)
+    return {k: n for k, n in out.items() if n >= min(d.RUN, len(brute_tokens(dict(items)[k[1]])))}
+
+
+def test_runs_go_on_behind_the_conflicting_slot(spark):
+    words = "which of these small rivers flows past old stones before it meets that wide cold sea near our quiet harbour town again".split()
+    words[1] = words[12] = "3"
+    one = dict(enumerate(words))
+    texts = [" ".join((one | {1: "5", 12: "7"}).values()), " ".join((one | {1: "5", 12: "5"}).values())]
+    got = found(spark, texts, [(1, " ".join(words))])
+    assert got[0, 1].n_matched == len(words) - 2 and got[1, 1].n_matched == len(words)
+    two = " ".join((one | {1: "8"}).values())
+    assert found(spark, [" ".join((one | {1: "5", 12: "5"}).values())], [(1, two)])[0, 1].n_matched == len(words) - 2
+
+
+def test_equals_brute_force_of_all_sub_runs(spark):
+    rnd = random.Random(16)
+    pool = ["the", "of", "river", "Paris", "Rome", "Été", "7", "12.5", "km", "three", "walks", "home", "old", "blue", "été", "a1"]
+    items = [(k, " ".join(rnd.choices(pool, k=rnd.choice([2, 5, 8, 14, 30])))) for k in range(20)]
+    texts = []
+    for _ in range(100):
+        words = rnd.choices(pool, k=rnd.randint(0, 12)) + rnd.choice(items)[1].split()[: rnd.randint(5, 40)] + rnd.choices(pool, k=rnd.randint(0, 9))
+        for _ in range(rnd.randint(0, 4)):
+            words[rnd.randrange(len(words))] = rnd.choice(pool)
+        texts.append(rnd.choice([str, str.upper, str.lower])(" ".join(words)))
+    want = brute_sub_runs(texts, items)
+    assert {k: r.n_matched for k, r in found(spark, texts, items).items()} == want and want

@@ -7,7 +7,9 @@ case-folded tokens as they are, whatever their kinds: so a copy is found in any
 case and with any share of names.  Windows that follow each other at one alignment of document and item form a run, and along a run each
 slot of the item must be filled in one way, and no two by one filling: so an
 item with other numbers and names is found, and text that only has its shape
-is not.  A run of 13 tokens, or of the whole item if it is shorter, is a leak.
+is not.  A slot that breaks this ends the run behind the earlier slot that it
+conflicts with.  A run of 13 tokens, or of the whole item if it is shorter, is a
+leak; an item of under 8 tokens is only held against documents of its length.
 
 The benchmark is taken in blocks of at most 16 MB of text; each block is sent
 to all tasks and held against all documents, whose text never shuffles.
@@ -169,22 +171,24 @@ class Benchmark:
             yield self.ids[item], length, int(self.first[item + 1] - self.first[item]), exact
 
     def _longest(self, raw, places: list[int], shift: int, size: int) -> tuple[int, bool]:
-        best, length, exact, last = (0, False), 0, True, None
+        best, begin, last, anew = (0, False), 0, None, -1
+        # of each slot and filling: its partner, and the last place of the two
         there: dict = {}
         back: dict = {}
         for p in places:
             if last is None or p > last:  # the window doesn't continue the one before
-                length, exact, there, back = 0, True, {}, {}
-                last = p
+                begin = last = p
             for at in range(last, p + size):
                 doc, own, sort = int(raw[at]), int(self.raw[at + shift]), int(self.kind[at + shift])
                 if sort != WORD:
-                    if there.get((sort, own), doc) != doc or back.get((sort, doc), own) != own:
-                        length, exact, there, back = 0, True, {}, {}
-                    there[sort, own], back[sort, doc] = doc, own
-                    exact = exact and doc == own
-                length += 1
-                best = max(best, (length, exact))
+                    for held, one, other in ((there, own, doc), (back, doc, own)):
+                        partner, place = held.get((sort, one), (other, -1))
+                        if partner != other:  # the run goes on behind the earlier slot
+                            begin = max(begin, place + 1)
+                        held[sort, one] = other, at
+                    if doc != own:
+                        anew = at
+                best = max(best, (at + 1 - begin, anew < begin))
             last = p + size
         return best
 
