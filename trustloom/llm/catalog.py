@@ -12,7 +12,7 @@ from trustloom.llm._shared import documents
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return chat_format.read_back(chat_format.format_turns(rows))
+    return chat_format.with_verdicts(chat_format.read_back(chat_format.format_turns(rows)), rows)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
