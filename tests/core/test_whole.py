@@ -55,3 +55,10 @@ def test_all_vectors_are_tokens(spark, tmp_path):
         r, p = sum(map(max, dots)) / 8, sum(map(max, zip(*dots))) / len(o)
         scores.append(2 * p * r / (p + r))
     assert len(scores) == 7 and QUERIES["bert_score"](spark, str(tmp_path)).first().bert_score == pytest.approx(sum(scores) / 7, abs=1e-6)
+
+
+def test_whole_claims_are_compared(spark, turns):
+    original, sampled = claims(TURNS[1][3]), claims(TURNS[2][3])
+    merged = [r.claim for r in QUERIES["merged_claims"](spark, turns).where("prompt_id = 1").orderBy("claim_idx").collect()]
+    assert merged == original + [c for c in sampled if c not in original] and len(merged) == 14
+    assert {r.claim: r.original_response for r in QUERIES["new_claims"](spark, turns).collect()} == {c: c in original for c in sampled}

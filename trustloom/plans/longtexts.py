@@ -88,13 +88,13 @@ def refined_responses(spark, d):
 SELECT prompt_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY k) - 1)::INT AS claim_idx, claim, (k // 1000)::INT AS first_sample FROM f""")
 def merged_claims(spark, d):
     a, b = claims_of(spark, d)
-    return L.merged_claims(a.union(b).withColumn("claim", F.substring("claim", 1, 12)))
+    return L.merged_claims(a.union(b))
 
 
 @query("new_claims", "J5 J6", f"""WITH {CLAIMS}, s AS (SELECT DISTINCT prompt_id, left(claim, 4) AS claim FROM dc WHERE length(claim) > 0 AND sample_idx > 0), o AS (SELECT DISTINCT prompt_id, left(claim, 4) AS claim FROM cl)
 SELECT s.prompt_id, s.claim, o.claim IS NOT NULL AS original_response FROM s LEFT JOIN o ON s.prompt_id = o.prompt_id AND s.claim = o.claim""")
 def new_claims(spark, d):
-    a, b = (x.withColumn("claim", F.substring("claim", 1, 4)) for x in claims_of(spark, d))
+    a, b = claims_of(spark, d)
     new = P.new_claims(b, a)
     shared = P.flag_original(b.select("prompt_id", "claim").distinct(), a).where("original_response")
     return new.withColumn("original_response", F.lit(False)).unionByName(shared)
