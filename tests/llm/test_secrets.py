@@ -64,3 +64,34 @@ def test_no_rows_and_clashing_columns(spark, model):
     df = docs(spark, ["token = abcdefghijklmnop"]).selectExpr("doc_id", "text", "1 AS base", "2 AS tokens", "3 AS markov", "4 AS a")
     assert secrets.report(secrets.scan(df, model)).first().spans == "assign:0:24"
     assert secrets.report(secrets.scan(docs(spark, []), model)).count() == 0
+
+
+def runs(text, model, least=8000):
+    """All runs of tokens outside base spans, by a running sum."""
+    taken = {p for a, _, b in brute(text) for p in range(a, b)}
+    out = []
+    for m in re.finditer(secrets.TOKEN, text):
+        p, total, peak, begin, end = 0, 0, 0, m.start(), 0
+        for at in range(m.start(), m.end() + 1):
+            if at < m.end():
+                k = secrets.ALPHABET.index(text[at]) + 1
+                total += model[p * len(secrets.ALPHABET) + k - 1]
+                p = k
+            if at == m.end() or at in taken or total <= 0 or total <= peak - least:
+                if peak >= least:
+                    out.append((begin, 3, end))
+                total, peak, begin = 0, 0, at + 1
+            elif total > peak:
+                peak, end = total, at + 1
+    return sorted(out + brute(text))
+
+
+def test_secrets_joined_to_words_are_found(spark, model):
+    rnd = random.Random(11)
+    strings = ["".join(rnd.choices(secrets.ALPHABET[:62], k=24)) for _ in range(100)]
+    before = ["services/download/customer/payment/", "customer_account_payment_report_", ""]
+    texts = [f"see {before[k % 3]}{s}{rnd.choice(['', '_customer_report', '/' + strings[0]])} end" for k, s in enumerate(strings)]
+    texts += [f"{strings[1]}_0123456789abcdef_{strings[2]}", "customer_account_payment_report"]
+    found = [r.spans for r in secrets.report(secrets.scan(docs(spark, texts), model)).orderBy("doc_id").collect()]
+    assert found == [said(runs(t, model)) for t in texts]
+    assert sum("markov" in x for x in found[:100]) >= 98 and found[100].count("markov") == 2 and "hex:25:41" in found[100] and found[101] == ""

@@ -2,11 +2,12 @@
 
 All of it is DataFrame expressions, training included.  Two models hold how
 likely one character follows another, in random strings and in ordinary
-identifiers; a long token whose log-likelihood ratio is at least ``least`` is a
-secret.  Log ratios are kept as whole thousandths, so sums don't depend on
+identifiers; each run inside a long token whose log-likelihood ratio is at least
+``least`` is a secret, whatever it is joined to.  Log ratios are kept as whole thousandths, so sums don't depend on
 their order.
 
-Spans are in code points, end exclusive, and cover a whole match.  Rows: null
+Spans are in code points, end exclusive, and cover a whole match, or a run of a
+token outside the base spans.  Rows: null
 texts count as empty; repeated rows give repeated rows; an empty table gives no
 rows; columns other than id and text are ignored.
 """
@@ -116,16 +117,46 @@ def train(labelled: DataFrame) -> list[int]:
     return out
 
 
-def log_ratio(token: Column, model: list[int]) -> Column:
-    """Sum of the model's log ratios over a token, in thousandths."""
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def secret_runs(token: Column, base: Column, model: list[int], least: int) -> Column:
+    """array<struct<a,k,b>> of the runs of a token <a,b,s> whose log ratios sum to ``least`` thousandths.
+
+    The sum starts anew where it falls to zero, by ``least`` under its peak, or
+    where a base span lies; a run ends at its peak.
+    """
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("sum"))
+    none = F.array().cast("array<struct<a:int,k:int,b:int>>")
+
+    def state(p, at, total, begin, peak, end, out) -> Column:
+        return F.struct(p.alias("p"), at.alias("at"), total.alias("sum"), begin.alias("begin"), peak.alias("peak"), end.alias("end"), out.alias("out"))
+
+    def closed(x: Column) -> Column:
+        run = F.struct(x["begin"].alias("a"), F.lit(3).alias("k"), x["end"].alias("b"))
+        return F.when(x["peak"] >= least, F.array_append(x["out"], run)).otherwise(x["out"])
+
+    def of(own: Column) -> Column:
+        def step(x: Column, c: Column) -> Column:
+            k = F.position(c, F.lit(ALPHABET))
+            total = x["sum"] + F.coalesce(F.get(table, x["p"] * len(ALPHABET) + k - 1), F.lit(0))
+            taken = F.exists(own, lambda b: (b["a"] <= x["at"]) & (x["at"] < b["b"]))
+            seen = F.struct(k.alias("k"), total.alias("total"), taken.alias("taken"))
+
+            def moved(y: Column) -> Column:
+                after, higher = x["at"] + 1, y["total"] > x["peak"]
+                anew = state(y["k"], after, F.lit(0), after, F.lit(0), after, closed(x))
+                on = state(y["k"], after, y["total"], x["begin"], F.greatest(x["peak"], y["total"]), F.when(higher, after).otherwise(x["end"]), x["out"])
+                return F.when(y["taken"] | (y["total"] <= 0) | (y["total"] <= x["peak"] - least), anew).otherwise(on)
+
+            return _let(seen, moved)
 
-    def step(x: Column, c: Column) -> Column:
-        k = F.position(c, F.lit(ALPHABET))
-        return F.struct(k.alias("p"), (x["sum"] + F.coalesce(F.get(table, x["p"] * len(ALPHABET) + k - 1), F.lit(0))).alias("sum"))
+        start = state(F.lit(0), token["a"], F.lit(0), token["a"], F.lit(0), token["a"], none)
+        return F.aggregate(F.split(token["s"], ""), start, step, closed)
 
-    return F.aggregate(F.split(token, ""), start, step, lambda x: x["sum"])
+    return _let(F.filter(base, lambda b: (b["a"] < token["b"]) & (token["a"] < b["b"])), of)
 
 
 def scan(docs: DataFrame, model: list[int] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +169,9 @@ def scan(docs: DataFrame, model: list[int] | None = None, least: float = LEAST,
 
     long_value = lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= ASSIGN_LEAST
     base = F.array_sort(F.concat(of(0, _spans(text, ASSIGN, long_value)), of(1, _spans(text, ACCESS)), of(2, _spans(text, HEX))))
-    tokens = of(3, _spans(text, TOKEN, lambda x: log_ratio(x["s"], model) >= round(1000 * least)))
+    tokens = _spans(text, TOKEN)
     rows = docs.select(F.col(id_col), base.alias("base"), tokens.alias("tokens"))
-    new = F.filter("tokens", lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
+    new = F.flatten(F.transform("tokens", lambda t: secret_runs(t, F.col("base"), model, round(1000 * least))))
     return rows.select(id_col, "base", new.alias("markov"))
 
 
