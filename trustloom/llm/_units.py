@@ -69,8 +69,25 @@ def split_units(offsets: np.ndarray, data: np.ndarray, spaced: bool) -> tuple[np
     return starts, lengths, kind[starts + lengths - 1]
 
 
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def edges(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of each unit as numbers: with the length, all of a unit of up to 16 bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    words = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
+    size = np.minimum(lengths, 8)
+    head, tail = (np.ascontiguousarray(words[at]).view("<u8")[:, 0] & _KEPT[size] for at in (starts, starts + lengths - size))
+    return head, tail
+
+
 class TokenPool:
-    """Token ids of units seen before, by hash; forgotten all at once when ``most`` units are held."""
+    """Token ids of units seen before; forgotten all at once when ``most`` units are held.
+
+    Units are looked up by hash and compared byte by byte, so of two units with
+    one hash neither gets the other's ids.
+    """
 
     SLOTS = 1 << 20
 
@@ -83,25 +100,41 @@ class TokenPool:
         self.index: dict[int, int] = {}
         self.begin, self.length, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.ids, self.used = np.zeros(1 << 18, self.dtype), 0
+        self.head, self.tail, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+        self.long: dict[int, bytes] = {}
 
-    def add(self, found: list[list[int]]) -> np.ndarray:
+    def add(self, units: list[bytes], found: list[list[int]], head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         flat = np.fromiter((x for y in found for x in y), self.dtype)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(found) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.begin, self.length, self.head, self.tail, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.head, self.tail, self.size))
         new = np.arange(self.count, self.count + len(found))
         self.ids[self.used : self.used + len(flat)] = flat
         self.length[new] = sizes
         self.begin[new] = self.used + np.cumsum(sizes) - sizes
         self.used, self.count = self.used + len(flat), self.count + len(found)
+        self.head[new], self.tail[new], self.size[new] = head, tail, list(map(len, units))
+        self.long.update((k, u) for k, u in zip(new.tolist(), units) if len(u) > 16)
         return new
 
+    def _encoded(self, where: np.ndarray, data, starts, lengths, kinds, head, tail) -> np.ndarray:
+        units = [data[a : a + m].tobytes() for a, m in zip(starts[where].tolist(), lengths[where].tolist())]
+        return self.add(units, self.encode(units, kinds[where].tolist()), head[where], tail[where])
+
+    def _others(self, out: np.ndarray, data, starts, lengths, head, tail) -> np.ndarray:
+        """Which units aren't the held ones that their hashes point to."""
+        wrong = (self.size[out] != lengths) | (self.head[out] != head) | (self.tail[out] != tail)
+        for k in np.flatnonzero((lengths > 16) & ~wrong).tolist():
+            wrong[k] = self.long[int(out[k])] != data[starts[k] : starts[k] + lengths[k]].tobytes()
+        return np.flatnonzero(wrong)
+
     def lookup(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kinds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The index of each unit; its ids are ids[begin[i] : begin[i] + length[i]]."""
         if self.count > self.most:
             self.clear()
+        head, tail = edges(data, starts, lengths)
         at = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
         out = np.where(self.keys[at] == hashes, self.slot[at], -1).astype(np.int64)
         missing = np.flatnonzero(out < 0)
@@ -110,15 +143,16 @@ class TokenPool:
             got = np.fromiter(map(self.index.get, distinct.tolist(), _minus), np.int64, len(distinct))
             new = np.flatnonzero(got < 0)
             if len(new):
-                where = missing[first[new]]
-                units = [data[a : a + m].tobytes() for a, m in zip(starts[where].tolist(), lengths[where].tolist())]
-                got[new] = made = self.add(self.encode(units, kinds[where].tolist()))
+                got[new] = made = self._encoded(missing[first[new]], data, starts, lengths, kinds, head, tail)
                 self.index.update(zip(distinct[new].tolist(), made.tolist()))
                 slots = (distinct[new] & np.uint64(self.SLOTS - 1)).astype(np.int64)
                 free = self.slot[slots] < 0
                 self.keys[slots[free]], self.slot[slots[free]] = distinct[new][free], made[free]
                 # of two that took one slot the last one stands, with its own key
             out[missing] = got[back]
+        wrong = self._others(out, data, starts, lengths, head, tail)
+        if len(wrong):
+            out[wrong] = self._encoded(wrong, data, starts, lengths, kinds, head, tail)
         return out
 
     def tokens(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,13 +12,15 @@ doc_id order (equal ids by text), so token offsets follow from the files'
 totals.  A task writes under a name of its own and renames when the file is
 whole: a task that runs again after a loss leaves the same file.
 
-Rows: null texts count as empty and give the end id alone; rows without doc_id
+A special token's text inside a document becomes that token, as the library
+does it.  Rows: null texts count as empty and give the end id alone; rows without doc_id
 come first; an empty table gives no files and no rows; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import uuid
@@ -115,8 +117,10 @@ class WordBpe:
     def __init__(self, held: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(held)
+        # units are lower-cased, so none of them may become a special token; texts that hold one go whole to the library
+        self.held, self.tokenizer = held, Tokenizer.from_str(held)
         self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         for text, k in self.tokenizer.get_vocab().items():
@@ -143,8 +147,26 @@ class WordBpe:
                 out[k] = e.ids
         return out
 
+    @functools.cached_property
+    def whole(self):
+        """The library as it is: special tokens in a text are taken for what they are."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.held)
+
+    def _with_special(self, offsets: np.ndarray, data: np.ndarray) -> set[int]:
+        """Rows that hold a special token's text."""
+        raw, rows = data.tobytes(), set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        return rows
+
     def encode_rows(self, offsets: np.ndarray, data: np.ndarray):
         """Token ids of each row of a piece."""
+        special = {k: self.whole.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids for k in self._with_special(offsets, data)}
         data = LOWER[data]
         starts, lengths, kinds, hashes = hashed_units(offsets, data, False)
         word = kinds != WHITE
@@ -152,7 +174,7 @@ class WordBpe:
         ids, counts = self.pool.tokens(self.pool.lookup(data, starts, lengths, kinds, hashes))
         ends = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)]
         for k in range(len(offsets) - 1):
-            yield ids[ends[k] : ends[k + 1]]
+            yield np.array(special[k], self.dtype) if k in special else ids[ends[k] : ends[k + 1]]
 
 
 def _codec(broadcast) -> WordBpe:
