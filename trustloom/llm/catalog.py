@@ -38,7 +38,7 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf_dir), length=400, digest=True)
+    return repeats.remove_repeats(documents(spark, sf_dir), length=400, digest=True, shared_words=51)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,19 +9,22 @@ windows hold a sample at the same offset; it holds one position in 137.
 1. Samples are named by their 128 bytes, and within a name by the whole string
    that windows with this sample span (its context).  Names that occur once
    end here; all windows of a context that occurs twice are repeats.
-2. One context of each name and kind travels to the name's task.  There the
+2. Names with more contexts than one sort takes are recursed on: the windows of
+   a context are halved by their distance from the sample, and each half is
+   named by the string that all windows of it hold.  Halves with a name of
+   their own end, equal halves are repeats, and at single windows nothing is
+   left, so a name of any number of contexts ends as names of bounded size.
+3. One context of each name and kind travels to the name's task.  There the
    difference-cover algorithm proper (triples at positions not divisible by
    three, recursion on their names, merge with the rest) sorts the suffixes of
    the contexts, and windows are compared with their neighbours in that order.
-3. The repeated windows of a context hold for all documents that have it.
+4. The repeated windows of a context hold for all documents that have it.
 
-A name with more contexts than fit one sort is spooled to the task's own disk
-and compared offset by offset, in memory bounded by a block of offsets.
-
-Hashes have 64 bits.  Rows: null texts count as empty; a text shorter than
-``length`` loses nothing; rows without an id and rows that share an id are
-told apart by their text; equal rows count as two occurrences; an empty table
-gives no rows; other columns are ignored.  Matches never cross documents.
+Hashes of strings have 64 bits; a row's name has 96.  Rows: null texts count as
+empty; a text shorter than ``length`` loses nothing; rows without an id and
+rows that share an id are told apart by their text; equal rows count as two
+occurrences; an empty table gives no rows; other columns are ignored.  Matches
+never cross documents.
 """
 
 from __future__ import annotations
@@ -35,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm import _bloom
-from trustloom.llm._bytes import BYTE_VALUES, INVERSES, POWERS, U64, mix, pieces, utf8
+from trustloom.llm._bytes import BYTE_VALUES, INVERSES, POWERS, U64, mix, pieces, utf8, words
 from trustloom.llm._shared import written
 
 SAMPLE = 128
 SEGMENT = 1 << 20
-#: Bytes of contexts that are sorted at once.
-SORTED = 1 << 20
+#: Bytes of contexts that are sorted at once; names with more are recursed on.
+SORTED = 1 << 19
+#: Words of the sampled strings of ``shared_strings``.
+SHINGLE = 32
 _POSITION = U64((1 << 24) - 1)
 
 
@@ -96,11 +101,11 @@ def _string_hashes(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.
 
 
 def samples(offsets: np.ndarray, data: np.ndarray, length: int):
-    """Of each sample of a piece: row, first and last window that has it (positions in the piece), name, context."""
+    """Of each sample of a piece: row, first and last window that has it, its place (positions in the piece), name, context."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     total = _prefix_hashes(data)
     at = np.arange(n - SAMPLE + 1)
     grams = _string_hashes(total, at, at + SAMPLE)
@@ -117,13 +122,13 @@ def samples(offsets: np.ndarray, data: np.ndarray, length: int):
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:starts]
     window = np.flatnonzero(np.arange(length, length + starts) <= offsets[rows + 1])
     if not len(window):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     place = place[window]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(window) != 1)]))
     first, last = window[cut], window[np.append(cut[1:], len(window)) - 1]
     place = place[cut]
     context = _string_hashes(total, first, last + length) ^ mix(((place - first) << 20 | (last - first)).astype(np.uint64))
-    return rows[first], first, last, grams[place], context
+    return rows[first], first, last, place, grams[place], context
 
 
 def _segments(offsets: np.ndarray, data: np.ndarray, length: int):
@@ -142,20 +147,20 @@ def _row_names(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def all_samples(docs: DataFrame, length: int) -> DataFrame:
-    """(row, first, last, name, context) of every sample of (row, text)."""
+    """(row, more, first, span, name, context) of every sample of (row, text, more)."""
 
     def run(batches):
         for batch in batches:
-            ids = _row_names(batch)
+            ids, more = _row_names(batch), batch.column(2)
             offsets, data = utf8(batch.column(1))
             for row, shift, at, part in _segments(offsets, data, length):
-                rows, first, last, name, context = samples(at, part, length)
+                rows, first, last, place, name, context = samples(at, part, length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row + rows]), pa.array(first - at[rows] + shift), pa.array((last - first).astype(np.int16)), pa.array(name.view(np.int64)), pa.array(context.view(np.int64))],
-                    names=["row", "first", "span", "name", "context"],
+                    [pa.array(ids[row + rows]), more.take(pa.array(row + rows)), pa.array(first - at[rows] + shift), pa.array((last - first).astype(np.int16)), pa.array(name.view(np.int64)), pa.array(context.view(np.int64))],
+                    names=["row", "more", "first", "span", "name", "context"],
                 )
 
-    return docs.mapInArrow(run, "row long, first long, span short, name long, context long")
+    return docs.mapInArrow(run, "row long, more int, first long, span short, name long, context long")
 
 
 def _identity(name: np.ndarray, context: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -172,8 +177,11 @@ def _identities(live: DataFrame) -> DataFrame:
     return live.select("name", "context", "rep.row", "rep.first").mapInArrow(run, "h long")
 
 
+CONTEXT = "name long, context long, at short, span short, text binary"
+
+
 def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
-    """(name, context, span, text) of the samples in the filter."""
+    """(name, context, at, span, text) of the samples in the filter; at: the sample's place in the context."""
 
     def run(batches):
         segments, bits = wanted.value
@@ -182,13 +190,82 @@ def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
             ids = _row_names(batch)
             offsets, data = utf8(batch.column(1))
             for row, shift, at, part in _segments(offsets, data, length):
-                rows, first, last, name, context = samples(at, part, length)
+                rows, first, last, place, name, context = samples(at, part, length)
                 hit = np.flatnonzero(_bloom.known(_identity(name, context, ids[row + rows], first - at[rows] + shift), segments, table))
                 raw = part.tobytes()
                 texts = [raw[a : b + length] for a, b in zip(first[hit].tolist(), last[hit].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(name[hit].view(np.int64)), pa.array(context[hit].view(np.int64)), pa.array((last - first)[hit].astype(np.int16)), pa.array(texts, pa.binary())], names=["name", "context", "span", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[hit].view(np.int64)), pa.array(context[hit].view(np.int64)), *(pa.array(x[hit].astype(np.int16)) for x in (place - first, last - first)), pa.array(texts, pa.binary())], names=["name", "context", "at", "span", "text"])
 
-    return docs.mapInArrow(run, "name long, context long, span short, text binary")
+    return docs.mapInArrow(run, CONTEXT)
+
+
+def _halves(texts: list[bytes], at: np.ndarray, span: np.ndarray, low: np.ndarray, high: np.ndarray, length: int):
+    """The halves of each context's windows by their distance from the sample, which is in [low, high).
+
+    Of each half: number of the context, first window, last window, low, high,
+    name (of the string that all windows of the half hold), whole (of all that
+    its windows span).
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    total = _prefix_hashes(data)
+    sizes = np.array(list(map(len, texts)), np.int64)
+    base = np.cumsum(sizes) - sizes
+    middle = (low + high) // 2
+    out = []
+    for a, b in ((low, middle), (middle, high)):
+        # window w of a context lies at - w before the sample
+        first, last = np.maximum(0, at - b + 1), np.minimum(span, at - a)
+        k = np.flatnonzero(first <= last)
+        inner = _string_hashes(total, base[k] + at[k] - a[k], base[k] + at[k] - b[k] + 1 + length)
+        whole = _string_hashes(total, base[k] + first[k], base[k] + last[k] + length) ^ mix(((at - first)[k] << 20 | (last - first)[k]).astype(np.uint64))
+        out.append((k, first[k], last[k], a[k], b[k], inner ^ mix((a[k] << 20 | b[k]).astype(np.uint64)), whole))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+_HALF = "name long, whole long, own long, context long, n long, shift int, low int, high int, at short, span short, text binary"
+
+
+def _halved(large: DataFrame, length: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                b = batch.slice(k, 1024)
+                own, context, n, shift, low, high, at, span = (np.asarray(b.column(c)).astype(np.int64) for c in range(8))
+                texts = b.column(8).to_pylist()
+                which, first, last, a, z, name, whole = _halves(texts, at, span, low, high, length)
+                cut = [texts[i][x : y + length] for i, x, y in zip(which.tolist(), first.tolist(), last.tolist())]
+                columns = [pa.array((name ^ mix(own[which].view(np.uint64))).view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own[which]), pa.array(context[which]), pa.array(n[which])]
+                columns += [pa.array(x.astype(np.int32)) for x in (shift[which] + first, a, z)] + [pa.array(x.astype(np.int16)) for x in (at[which] - first, last - first)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], names=["name", "whole", "own", "context", "n", "shift", "low", "high", "at", "span", "text"])
+
+    return large.select("own", "context", "n", "shift", "low", "high", "at", "span", "text").mapInArrow(run, _HALF)
+
+
+def bounded_names(found: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Recursion on names: contexts (name, own, context, shift, span, text) in names that one sort takes, and runs found on the way.
+
+    found: (own, context, n, at, span, text) of names ``own`` with more.  The
+    rounds number at most the logarithm of the windows of a context; each is
+    written, so a lost executor costs one round.
+    """
+    large = found.select("own", "context", "n", F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(length - SAMPLE + 1).alias("high"), "at", "span", "text")
+    small, runs = [], []
+    for _ in range((length - SAMPLE).bit_length() + 1):
+        halves = written(_halved(large, length), "halves")
+        kinds = halves.groupBy("name", "whole").agg(F.sum("n").alias("all"), F.min(F.struct("own", "context")).alias("one"), (F.max("span") + F.lit(length)).cast("long").alias("bytes"))
+        names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("bytes"), F.sum("all").alias("total")).where("total > 1")
+        live = written(kinds.join(names.drop("total").withColumnRenamed("bytes", "of_all"), "name"), "half-names")
+        twice = live.where("all > 1").select("name", "whole")
+        runs.append(halves.join(twice, ["name", "whole"]).select(F.col("own").alias("name"), "context", F.array(F.struct(F.col("shift").alias("a"), (F.col("shift") + F.col("span")).alias("b"))).alias("runs")))
+        # one of each kind goes on; which one doesn't matter where there are two
+        kept = live.where("kinds > 1").select("name", "whole", "of_all", F.col("one.own").alias("own"), F.col("one.context").alias("context"), F.col("all"))
+        kept = written(halves.drop("n").join(kept, ["name", "whole", "own", "context"]), "half-contexts")
+        small.append(kept.where(F.col("of_all") <= SORTED).select("name", "own", "context", "shift", "span", "text"))
+        large = kept.where(F.col("of_all") > SORTED).select("own", "context", F.col("all").alias("n"), "shift", "low", "high", "at", "span", "text")
+        if large.isEmpty():
+            break
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    return union(small), union(runs)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -219,7 +296,7 @@ def _repeats_sorted(group: list[tuple], length: int) -> list[np.ndarray]:
 
 
 def _repeats_spooled(group, length: int):
-    """The same for a group of any size: rows (name, context, span, text) come one by one; results too."""
+    """The same by hashes of all windows, kept on disk: what tests hold the sort against."""
     with tempfile.TemporaryFile() as spool:
         heads, ends = [], [0]
         for name, context, span, text in group:
@@ -258,91 +335,127 @@ def _repeats_spooled(group, length: int):
             yield head, np.asarray(seen[k, : counts[k]]).astype(bool)
 
 
+_RUNS = "name long, context long, runs array<struct<a:int,b:int>>"
+
+
 def repeated_windows(found: DataFrame, length: int) -> DataFrame:
-    """(name, context, runs): first and last offset of each run of repeated windows of a context."""
+    """(name, context, runs): first and last offset of each run of repeated windows of a context.
+
+    found: (name, own, context, shift, span, text), by names of bounded size;
+    own: the name of the result.
+    """
 
     def run(batches):
-        rows, done = [], []
+        done, held, size, group, group_size, name = [], [], 0, [], 0, None
 
-        def flush(group):
-            for head, again in zip(group, _repeats_sorted(group, length)):
+        def flush():
+            for head, again in zip(held, _repeats_sorted(held, length)):
                 if again.any():
-                    done.append((head[0], head[1], _runs(again)))
+                    done.append((head[0], head[1], [(a + head[4], b + head[4]) for a, b in _runs(again)]))
+            held.clear()
 
         def batch_of():
             out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x[2]] for x in done], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["name", "context", "runs"])
             done.clear()
             return out
 
-        held: list[tuple] = []  # whole groups, to be sorted together
-        size = 0
-        for group in _groups(batches):
-            part, bytes_in = [], 0
-            for x in group:
-                part.append(x)
-                bytes_in += len(x[3])
-                if bytes_in > SORTED:
-                    def rest(part=part, group=group):
-                        yield from part
-                        yield from group
-                    for head, again in _repeats_spooled(rest(), length):
-                        if again.any():
-                            done.append((head[0], head[1], _runs(again)))
-                            if len(done) >= 5000:
-                                yield batch_of()
-                    part = []
-                    break
-            if len(part) > 1:
-                if size + bytes_in > SORTED:
-                    flush(held)
-                    held, size = [], 0
-                held += part
-                size += bytes_in
-            if len(done) >= 5000:
-                yield batch_of()
+        def close():
+            nonlocal size
+            if len(group) > 1:  # whole names are sorted together
+                if size + group_size > SORTED:
+                    flush()
+                    size = 0
+                held.extend(group)
+                size += group_size
+
+        for b in batches:
+            for key, own, context, shift, span, text in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if key != name:
+                    close()
+                    name, group, group_size = key, [], 0
+                elif (own, context, shift) == (group[-1][0], group[-1][1], group[-1][4]):
+                    continue  # equal rows give one context more than once
+                group.append((own, context, span, text, shift))
+                group_size += len(text)
+                if len(done) >= 5000:
+                    yield batch_of()
+        close()
         if held:
-            flush(held)
+            flush()
         if done:
             yield batch_of()
 
-    return found.repartition("name").sortWithinPartitions("name", "context").mapInArrow(run, "name long, context long, runs array<struct<a:int,b:int>>")
-
-
-def _groups(batches):
-    """Iterators over the rows of each name; rows come sorted by name."""
-    def rows():
-        for b in batches:
-            yield from zip(*(b.column(k).to_pylist() for k in range(4)))
+    rows = found.select("name", "own", "context", "shift", "span", "text")
+    return rows.repartition("name").sortWithinPartitions("name", "context", "shift").mapInArrow(run, _RUNS)
 
-    from itertools import groupby
 
-    for _, group in groupby(rows(), lambda x: x[0]):
-        yield group
-        for _ in group:
-            pass
+def shared_strings(docs: DataFrame, words_long: int) -> DataFrame:
+    """(row, more, n_shared): how many sampled strings of 32 words of a document another one holds too.
 
+    Of each ``words_long`` words the string with the smallest hash is sampled,
+    so a passage of that many words which two documents share always gives one.
+    """
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept (bytes; with ``digest``: kept_sha256) of every row."""
+    def run(batches):
+        width = words_long - SHINGLE + 1
+        for batch in batches:
+            offsets, data = utf8(batch.column(2))
+            for row, at, part in pieces(offsets, data):
+                _, rows, h = words(at, part)
+                n = len(h)
+                if n < words_long:
+                    continue
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum(h * POWERS(n), out=total[1:])
+                begin = np.arange(n - SHINGLE + 1)
+                strings = _string_hashes(total, begin, begin + SHINGLE)
+                lowest = np.lib.stride_tricks.sliding_window_view(strings, width).argmin(axis=1) + np.arange(n - words_long + 1)
+                inside = rows[: n - words_long + 1] == rows[words_long - 1 :]
+                lowest = np.unique(lowest[inside])
+                key = batch.take(pa.array(row + rows[lowest]))
+                yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), pa.array(strings[lowest].view(np.int64))], names=["row", "more", "string"])
+
+    found = written(docs.select("row", "more", "text").mapInArrow(run, "row long, more int, string long"), "shared-strings")
+    of = found.groupBy("string").agg(F.min(F.struct("row", "more")).alias("low"), F.max(F.struct("row", "more")).alias("high")).where("low < high").select("string")
+    return found.join(of, "string").groupBy("row", "more").agg(F.count("*").alias("n_shared"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, shared_words: int | None = None) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept (bytes; with ``digest``: kept_sha256) of every row.
+
+    With ``shared_words`` also n_shared, see shared_strings: it tells of shared
+    passages of that many words even where they are shorter than ``length``.
+    """
     if length <= SAMPLE:
         raise ValueError(f"length must be over {SAMPLE}")
+    if shared_words is not None and shared_words < SHINGLE:
+        raise ValueError(f"shared_words must be {SHINGLE} or more")
     spark = docs.sparkSession
     # ids may be missing or shared: a row's name is made of id and text
-    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("id", "text").alias("row"), "text", "id")
-    table = written(all_samples(named.select("row", "text"), length), "samples")
-    kinds = table.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("rep"))
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("id", "text").alias("row"), F.hash("text", "id").alias("more"), "text", "id")
+    table = written(all_samples(named.select("row", "text", "more"), length), "samples")
+    kinds = table.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("rep"), (F.max("span") + F.lit(length)).cast("long").alias("bytes"))
     kinds = written(kinds, "contexts")
-    names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    live = written(kinds.join(names, "name"), "repeated-names")
+    names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum("bytes").alias("of_all")).where("total > 1")
+    live = written(kinds.drop("bytes").join(names, "name"), "repeated-names")
     mixed = live.where("kinds > 1")
     wanted = spark.sparkContext.broadcast(_bloom.build(_identities(mixed), mixed.count()))
-    found = repeated_windows(contexts(named.select("row", "text"), wanted, length), length)
+    held = contexts(named.select("row", "text"), wanted, length)
+    large = mixed.where(F.col("of_all") > SORTED).select("name", "context", "n")
+    own = lambda rows: rows.select("name", F.col("name").alias("own"), "context", F.lit(0).alias("shift"), "span", "text")
+    if large.isEmpty():
+        found = repeated_windows(own(held), length)
+    else:
+        held = written(held, "held-contexts")
+        hot = held.join(large, ["name", "context"]).withColumnRenamed("name", "own").dropDuplicates(["own", "context"])
+        small, runs = bounded_names(hot, length)
+        found = repeated_windows(own(held.join(large.select("name").distinct(), "name", "left_anti")).union(small), length).union(runs)
     whole = live.where("n > 1").select("name", "context", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(True).alias("all"))
     part = found.select("name", "context", "runs", F.lit(False).alias("all")).join(live.where("n > 1").select("name", "context"), ["name", "context"], "left_anti")
     windows = table.join(whole.union(part), ["name", "context"])
     last = F.col("first") + F.col("span")
     runs = F.when(F.col("all"), F.array(F.struct(F.col("first").alias("a"), last.alias("b")))).otherwise(F.transform("runs", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"]).alias("b"))))
-    by_row = windows.select("row", runs.alias("runs")).groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    by_row = windows.select("row", "more", runs.alias("runs")).groupBy("row", "more").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     kind, tail = docs.schema[id_col].dataType, "kept_sha256" if digest else "kept"
 
     def cut(batches):
@@ -366,7 +479,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     removed.append(0)
                     spans.append(0)
                 kept.append(hashlib.sha256(text.tobytes()).hexdigest() if digest else text.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.string() if digest else pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", tail])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.string() if digest else pa.binary()), *batch.columns[3:]], names=[id_col, "n_bytes", "n_removed", "n_spans", tail, "n_shared"][: 5 + batch.num_columns - 3])
 
-    joined = named.join(by_row, "row", "left").select("id", "text", "runs")
-    return joined.mapInArrow(cut, f"{id_col} {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, {tail} {'string' if digest else 'binary'}")
+    joined, more = named.join(by_row, ["row", "more"], "left"), []
+    if shared_words is not None:
+        joined, more = joined.join(shared_strings(named, shared_words), ["row", "more"], "left"), [F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared")]
+    return joined.select("id", "text", "runs", *more).mapInArrow(cut, f"{id_col} {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, {tail} {'string' if digest else 'binary'}{', n_shared long' if more else ''}")
