@@ -51,3 +51,13 @@ def test_shared_passages_of_51_words(spark):
     assert repeats.remove_repeats(docs(spark, []), shared_words=51).count() == 0
     with pytest.raises(ValueError):
         repeats.remove_repeats(docs(spark, []), shared_words=31)
+
+
+def test_long_rows_are_sampled_alike(spark, monkeypatch):
+    rnd = random.Random(24)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(3, 6))) for _ in range(3000)), "z" * 9000 + " " + babble(rnd, 700) + " " + "w" * 5000]
+    both = docs(spark, texts * 2, [1, 2, 3, 4])
+    plain = {r.doc_id: r.n_shared for r in repeats.remove_repeats(both, shared_words=51).collect()}
+    monkeypatch.setattr(repeats, "SEGMENT", 2000)
+    cut = {r.doc_id: r.n_shared for r in repeats.remove_repeats(both, shared_words=51).collect()}
+    assert plain == cut and plain[1] == plain[3] > 150 and plain[2] == plain[4] > 30

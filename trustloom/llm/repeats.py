@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm import _bloom
-from trustloom.llm._bytes import BYTE_VALUES, INVERSES, POWERS, U64, mix, pieces, utf8, words
+from trustloom.llm._bytes import BYTE_VALUES, INVERSES, POWERS, SPACE, U64, mix, pieces, utf8, words
 from trustloom.llm._shared import written
 
 SAMPLE = 128
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of contexts that are sorted at once; names with more are recursed on.
 SORTED = 1 << 19
 #: Words of the sampled strings of ``shared_strings``.
@@ -389,6 +389,21 @@ def repeated_windows(found: DataFrame, length: int) -> DataFrame:
     return rows.repartition("name").sortWithinPartitions("name", "context", "shift").mapInArrow(run, _RUNS)
 
 
+def _cuts(part: np.ndarray, most: int):
+    """Where to cut a long run of bytes: at white space, about every ``most`` bytes."""
+    begin = 0
+    while len(part) - begin > most:
+        step = most
+        while begin + step < len(part) and not (space := np.flatnonzero(SPACE[part[begin + step // 2 : begin + step]])).size:
+            step *= 2
+        if begin + step >= len(part):
+            break
+        end = begin + step // 2 + int(space[-1])
+        yield begin, end
+        begin = end
+    yield begin, len(part)
+
+
 def shared_strings(docs: DataFrame, words_long: int) -> DataFrame:
     """(row, more, n_shared): how many sampled strings of 32 words of a document another one holds too.
 
@@ -396,24 +411,32 @@ def shared_strings(docs: DataFrame, words_long: int) -> DataFrame:
     so a passage of that many words which two documents share always gives one.
     """
 
+    width = words_long - SHINGLE + 1
+
     def run(batches):
-        width = words_long - SHINGLE + 1
         for batch in batches:
             offsets, data = utf8(batch.column(2))
-            for row, at, part in pieces(offsets, data):
-                _, rows, h = words(at, part)
-                n = len(h)
-                if n < words_long:
-                    continue
-                total = np.zeros(n + 1, np.uint64)
-                np.cumsum(h * POWERS(n), out=total[1:])
-                begin = np.arange(n - SHINGLE + 1)
-                strings = _string_hashes(total, begin, begin + SHINGLE)
-                lowest = np.lib.stride_tricks.sliding_window_view(strings, width).argmin(axis=1) + np.arange(n - words_long + 1)
-                inside = rows[: n - words_long + 1] == rows[words_long - 1 :]
-                lowest = np.unique(lowest[inside])
-                key = batch.take(pa.array(row + rows[lowest]))
-                yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), pa.array(strings[lowest].view(np.int64))], names=["row", "more", "string"])
+            for row, at, part in pieces(offsets, data, SEGMENT):
+                held, done = np.zeros(0, np.uint64), 0
+                for begin, end in _cuts(part, SEGMENT):
+                    # a long row goes on with the words that its next windows still hold
+                    _, rows, h = words(at if len(at) > 2 else np.array([0, end - begin]), part[begin:end])
+                    rows, h = np.concatenate([np.zeros(len(held), np.int64), rows]), np.concatenate([held, h])
+                    n = len(h)
+                    if n < words_long:
+                        held = h
+                        continue
+                    total = np.zeros(n + 1, np.uint64)
+                    np.cumsum(h * POWERS(n), out=total[1:])
+                    first = np.arange(n - SHINGLE + 1)
+                    strings = _string_hashes(total, first, first + SHINGLE)
+                    lowest = np.lib.stride_tricks.sliding_window_view(strings, width).argmin(axis=1) + np.arange(n - words_long + 1)
+                    lowest = np.unique(lowest[rows[: n - words_long + 1] == rows[words_long - 1 :]])
+                    lowest = lowest[lowest >= done]
+                    key = batch.take(pa.array(row + rows[lowest]))
+                    yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), pa.array(strings[lowest].view(np.int64))], names=["row", "more", "string"])
+                    held = h[n - words_long + 1 :]
+                    done = max(0, int(lowest[-1]) + 1 - (n - words_long + 1)) if len(lowest) else max(0, done - (n - words_long + 1))
 
     found = written(docs.select("row", "more", "text").mapInArrow(run, "row long, more int, string long"), "shared-strings")
     of = found.groupBy("string").agg(F.min(F.struct("row", "more")).alias("low"), F.max(F.struct("row", "more")).alias("high")).where("low < high").select("string")
