@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,15 @@ def _bits(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np
     return (h >> U64(40)).astype(np.int64) % segments, (h & U64(0xFFFF)).astype(np.int64), (h >> U64(16) & U64(0xFFFF)).astype(np.int64)
 
 
-def build(hashes: DataFrame, entries: int) -> tuple[int, bytes]:
-    """(segments, bits) of the filter of a table with one long column."""
+def build(rows: DataFrame, hashed: Callable[[pa.RecordBatch], np.ndarray], entries: int) -> tuple[int, bytes]:
+    """(segments, bits) of the filter of a table; ``hashed`` gives the 64-bit hashes of a batch of its rows."""
     segments = 1 << max(0, min(MOST_LOG2_BITS, math.ceil(math.log2(max(1, 24 * entries)))) - 16)
 
     def local(batches):
-        rows = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
-        if not rows:
+        found = [hashed(b) for b in batches]
+        if not found:
             return
-        segment, a, b = _bits(np.unique(np.concatenate(rows)), segments)
+        segment, a, b = _bits(np.unique(np.concatenate(found)), segments)
         order = np.argsort(segment, kind="stable")
         segment, a, b = segment[order], a[order], b[order]
         cut = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
@@ -56,7 +57,7 @@ def build(hashes: DataFrame, entries: int) -> tuple[int, bytes]:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([zlib.compress(bits, 1)], pa.binary())], names=["segment", "bits"])
 
-    merged = hashes.mapInArrow(local, "segment int, bits binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
+    merged = rows.mapInArrow(local, "segment int, bits binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
     out = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for r in merged.toLocalIterator():  # at most 2**MOST_LOG2_BITS bits in all
         out[r.segment] = np.frombuffer(zlib.decompress(r.bits), np.uint8)

@@ -168,13 +168,9 @@ def _identity(name: np.ndarray, context: np.ndarray, row: np.ndarray, first: np.
     return mix(x + row.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
 
 
-def _identities(live: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            name, context, row, first = (np.asarray(b.column(k)) for k in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(_identity(name.view(np.uint64), context.view(np.uint64), row, first).view(np.int64))], names=["h"])
-
-    return live.select("name", "context", "rep.row", "rep.first").mapInArrow(run, "h long")
+def _identities(batch: pa.RecordBatch) -> np.ndarray:
+    name, context, row, first = (np.asarray(batch.column(k)) for k in range(4))
+    return _identity(name.view(np.uint64), context.view(np.uint64), row, first)
 
 
 CONTEXT = "name long, context long, at short, span short, text binary"
@@ -462,7 +458,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum("bytes").alias("of_all")).where("total > 1")
     live = written(kinds.drop("bytes").join(names, "name"), "repeated-names")
     mixed = live.where("kinds > 1")
-    wanted = spark.sparkContext.broadcast(_bloom.build(_identities(mixed), mixed.count()))
+    wanted = spark.sparkContext.broadcast(_bloom.build(mixed.select("name", "context", "rep.row", "rep.first"), _identities, mixed.count()))
     held = contexts(named.select("row", "text"), wanted, length)
     large = mixed.where(F.col("of_all") > SORTED).select("name", "context", "n")
     own = lambda rows: rows.select("name", F.col("name").alias("own"), "context", F.lit(0).alias("shift"), "span", "text")
