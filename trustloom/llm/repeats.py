@@ -429,8 +429,8 @@ def shared_strings(docs: DataFrame, words_long: int) -> DataFrame:
                     lowest = np.lib.stride_tricks.sliding_window_view(strings, width).argmin(axis=1) + np.arange(n - words_long + 1)
                     lowest = np.unique(lowest[rows[: n - words_long + 1] == rows[words_long - 1 :]])
                     lowest = lowest[lowest >= done]
-                    key = batch.take(pa.array(row + rows[lowest]))
-                    yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), pa.array(strings[lowest].view(np.int64))], names=["row", "more", "string"])
+                    of = pa.array(row + rows[lowest])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(strings[lowest].view(np.int64))], names=["row", "more", "string"])
                     held = h[n - words_long + 1 :]
                     done = max(0, int(lowest[-1]) + 1 - (n - words_long + 1)) if len(lowest) else max(0, done - (n - words_long + 1))
 
