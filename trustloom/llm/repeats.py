@@ -400,43 +400,91 @@ def _cuts(part: np.ndarray, most: int):
     yield begin, len(part)
 
 
+_SHARED = "string long, c int, row long, more int"
+
+
+def _sampled(batch: pa.RecordBatch, words_long: int, most: int):
+    """Row numbers and hashes of the sampled strings of a batch of (row, more, text)."""
+    width = words_long - SHINGLE + 1
+    offsets, data = utf8(batch.column(2))
+    for row, at, part in pieces(offsets, data, most):
+        held, done = np.zeros(0, np.uint64), 0
+        for begin, end in _cuts(part, most):
+            # a long row goes on with the words that its next windows still hold
+            _, rows, h = words(at if len(at) > 2 else np.array([0, end - begin]), part[begin:end])
+            rows, h = np.concatenate([np.zeros(len(held), np.int64), rows]), np.concatenate([held, h])
+            n = len(h)
+            if n < words_long:
+                held = h
+                continue
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(h * POWERS(n), out=total[1:])
+            first = np.arange(n - SHINGLE + 1)
+            strings = _string_hashes(total, first, first + SHINGLE)
+            lowest = np.lib.stride_tricks.sliding_window_view(strings, width).argmin(axis=1) + np.arange(n - words_long + 1)
+            lowest = np.unique(lowest[rows[: n - words_long + 1] == rows[words_long - 1 :]])
+            lowest = lowest[lowest >= done]
+            yield row + rows[lowest], strings[lowest]
+            held = h[n - words_long + 1 :]
+            done = max(0, (int(lowest[-1]) + 1 if len(lowest) else done) - (n - words_long + 1))
+
+
+def _rows_of(string, c, row, more) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), pa.array(c, pa.int32()), pa.array(row), pa.array(more)], names=["string", "c", "row", "more"])
+
+
 def shared_strings(docs: DataFrame, words_long: int) -> DataFrame:
     """(row, more, n_shared): how many sampled strings of 32 words of a document another one holds too.
 
     Of each ``words_long`` words the string with the smallest hash is sampled,
     so a passage of that many words which two documents share always gives one.
+    A batch counts the strings that two of its own documents hold, and sends
+    each string once, so a string that all documents hold isn't a hot key.
+    Documents with one id and one text are one document; their counts add up.
     """
 
-    width = words_long - SHINGLE + 1
-
-    def run(batches):
+    def local(batches):
+        for batch in batches:
+            parts = list(_sampled(batch, words_long, SEGMENT))
+            if not parts:
+                continue
+            index, string = map(np.concatenate, zip(*parts))
+            row, more = np.asarray(batch.column(0))[index], np.asarray(batch.column(1))[index]
+            order = np.lexsort((row, string))
+            string, row, more = string[order], row[order], more[order]
+            fresh = np.append(True, (string[1:] != string[:-1]) | (row[1:] != row[:-1]))[: len(string)]
+            string, row, more = string[fresh], row[fresh], more[fresh]
+            begin = np.flatnonzero(np.append(True, string[1:] != string[:-1])[: len(string)])
+            size = np.diff(np.append(begin, len(string)))
+            here = np.repeat(size > 1, size)
+            yield _rows_of(string[~here], np.zeros((~here).sum(), np.int32), row[~here], more[~here])
+            known = string[begin[size > 1]]
+            yield _rows_of(known, np.full(len(known), -1), np.zeros(len(known), np.int64), np.zeros(len(known), np.int32))
+            own, at, count = np.unique(row[here], return_index=True, return_counts=True)
+            yield _rows_of(own, count, own, more[here][at])
+
+    def across(batches):
+        # a string that more may follow of: known to be shared (c -1), or its one document so far (c 0)
+        held = _rows_of(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
-            offsets, data = utf8(batch.column(2))
-            for row, at, part in pieces(offsets, data, SEGMENT):
-                held, done = np.zeros(0, np.uint64), 0
-                for begin, end in _cuts(part, SEGMENT):
-                    # a long row goes on with the words that its next windows still hold
-                    _, rows, h = words(at if len(at) > 2 else np.array([0, end - begin]), part[begin:end])
-                    rows, h = np.concatenate([np.zeros(len(held), np.int64), rows]), np.concatenate([held, h])
-                    n = len(h)
-                    if n < words_long:
-                        held = h
-                        continue
-                    total = np.zeros(n + 1, np.uint64)
-                    np.cumsum(h * POWERS(n), out=total[1:])
-                    first = np.arange(n - SHINGLE + 1)
-                    strings = _string_hashes(total, first, first + SHINGLE)
-                    lowest = np.lib.stride_tricks.sliding_window_view(strings, width).argmin(axis=1) + np.arange(n - words_long + 1)
-                    lowest = np.unique(lowest[rows[: n - words_long + 1] == rows[words_long - 1 :]])
-                    lowest = lowest[lowest >= done]
-                    of = pa.array(row + rows[lowest])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(strings[lowest].view(np.int64))], names=["row", "more", "string"])
-                    held = h[n - words_long + 1 :]
-                    done = max(0, int(lowest[-1]) + 1 - (n - words_long + 1)) if len(lowest) else max(0, done - (n - words_long + 1))
-
-    found = written(docs.select("row", "more", "text").mapInArrow(run, "row long, more int, string long"), "shared-strings")
-    of = found.groupBy("string").agg(F.min(F.struct("row", "more")).alias("low"), F.max(F.struct("row", "more")).alias("high")).where("low < high").select("string")
-    return found.join(of, "string").groupBy("row", "more").agg(F.count("*").alias("n_shared"))
+            string, c, row, more = (np.concatenate([np.asarray(x.column(k)) for x in (held, batch)]) for k in range(4))
+            counted = c > 0
+            yield _rows_of(string[counted], c[counted], row[counted], more[counted])
+            string, c, row, more = (x[~counted] for x in (string, c, row, more))
+            if not len(string):
+                held = held.slice(0, 0)
+                continue
+            fresh = np.append(True, (string[1:] != string[:-1]) | (c[1:] != c[:-1]) | (row[1:] != row[:-1]))
+            string, c, row, more = (x[fresh] for x in (string, c, row, more))
+            begin = np.flatnonzero(np.append(True, string[1:] != string[:-1]))
+            size = np.diff(np.append(begin, len(string)))
+            shared = (size > 1) | (c[begin] < 0)
+            out = np.repeat(shared, size) & (c == 0)
+            yield _rows_of(string[out], np.ones(out.sum(), np.int32), row[out], more[out])
+            held = _rows_of(string[-1:], np.array([-1 if shared[-1] else 0]), row[-1:], more[-1:])
+
+    sent = docs.select("row", "more", "text").mapInArrow(local, _SHARED).repartition("string").sortWithinPartitions("string", "c", "row")
+    return sent.mapInArrow(across, _SHARED).groupBy("row", "more").agg(F.sum("c").alias("n_shared"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, shared_words: int | None = None) -> DataFrame:
