@@ -11,18 +11,20 @@ is not.  A slot that breaks this ends the run behind the earlier slot that it
 conflicts with.  A run of 13 tokens, or of the whole item if it is shorter, is a
 leak; an item of under 8 tokens is only held against documents of its length.
 
-The benchmark is taken in blocks of at most 16 MB of text; each block is sent
-to all tasks and held against all documents, whose text never shuffles.
+Documents are read once, whatever the size of the benchmark, and their texts
+never shuffle: a filter of the benchmark's windows lets the few windows pass
+that it may hold, each with its own tokens, and these are joined by hash.  The
+filter has at most 128 MB; a benchmark of over 2.8 million windows lets more
+windows pass than need be, with the same result.
 
 Rows: null texts, and items without tokens, match nothing; repeated items count
-once; rows without doc_id are compared and reported like others; empty tables
-give no rows; other columns are ignored.
+once; rows without doc_id are compared and reported like others, and so is each
+of several equal rows; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustloom.llm import _bloom
 from trustloom.llm._bytes import LOWER, U64, mix, pieces, shingles, span_hashes, spans, utf8
+from trustloom.llm._shared import written
 
 WINDOW, LITERALS, RUN = 8, 5, 13
-BLOCK_BYTES = 16 << 20
+#: Entries of the filter for each window: with 24 bits an entry, one of 36,000 other windows passes.
+SPARSE = 16
 WORD, NUMBER, UNIT, NAME = range(4)
 
 UNITS = """m cm mm km mi ft yd kg mg g lb lbs oz t l ml gal s sec secs second seconds min mins minute minutes h hr hrs hour hours
@@ -133,100 +138,136 @@ def windows(rows: np.ndarray, kind: np.ndarray, raw: np.ndarray, template: np.nd
     return np.concatenate([found[keep], folded]), np.concatenate([row[keep], row]), np.concatenate([place[keep], place])
 
 
-class Benchmark:
-    """Windows and tokens of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        raw = [t.encode() for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        rows, self.kind, self.raw, template = tokens(offsets, data)
-        found, item, place = windows(rows, self.kind, self.raw, template, len(items))
-        self.first = np.searchsorted(rows, np.arange(len(items) + 1))
-        order = np.argsort(found, kind="stable")
-        self.hashes, self.item, self.place = found[order], item[order], place[order]
-        self.known = np.unique(self.hashes)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.known >> U64(44)).astype(np.int64)] = True
-
-    def matches(self, hashes: np.ndarray) -> np.ndarray:
-        near = np.flatnonzero(self.table[(hashes >> U64(44)).astype(np.int64)])
-        return near[_among(hashes[near], self.known)]
-
-    def leaks(self, raw: np.ndarray, places: np.ndarray, hashes: np.ndarray, run: int = RUN):
-        """(item id, tokens of the longest run, tokens of the item, whether no slot is filled anew), for one document."""
-        lined: dict[tuple[int, int], list[int]] = defaultdict(list)
-        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        for p, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
-            for k in range(a, b):
-                lined[int(self.item[k]), p - int(self.place[k])].append(p)
-        best: dict[int, tuple[int, bool]] = {}
-        for (item, shift), found in lined.items():
-            begin, total = int(self.first[item]), int(self.first[item + 1] - self.first[item])
-            length, exact = self._longest(raw, sorted(set(found)), begin - shift, min(total, WINDOW))
-            if length >= min(run, total) and (length, exact) > best.get(item, (0, False)):
-                best[item] = (length, exact)
-        for item, (length, exact) in sorted(best.items()):
-            yield self.ids[item], length, int(self.first[item + 1] - self.first[item]), exact
-
-    def _longest(self, raw, places: list[int], shift: int, size: int) -> tuple[int, bool]:
-        best, begin, last, anew = (0, False), 0, None, -1
-        # of each slot and filling: its partner, and the last place of the two
-        there: dict = {}
-        back: dict = {}
-        for p in places:
-            if last is None or p > last:  # the window doesn't continue the one before
-                begin = last = p
-            for at in range(last, p + size):
-                doc, own, sort = int(raw[at]), int(self.raw[at + shift]), int(self.kind[at + shift])
-                if sort != WORD:
-                    for held, one, other in ((there, own, doc), (back, doc, own)):
-                        partner, place = held.get((sort, one), (other, -1))
-                        if partner != other:  # the run goes on behind the earlier slot
-                            begin = max(begin, place + 1)
-                        held[sort, one] = other, at
-                    if doc != own:
-                        anew = at
-                best = max(best, (at + 1 - begin, anew < begin))
-            last = p + size
-        return best
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, n_matched, n_item, coverage, exact) of every document and item of which it holds a run."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+def _table(columns, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _slices(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    raw, width = values.tobytes(), values.dtype.itemsize
+    return pa.array([raw[a * width : (a + n) * width] for a, n in zip(begin.tolist(), size.tolist())], pa.binary())
+
+
+_WINDOWS = "hash long, item long, said long, place long, n_item long, own binary, kinds binary"
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """Of (item, said, text) each window: its hash and place, the item's tokens, and the window's own with their kinds."""
+
+    def run(batches):
+        for batch in batches:
+            offsets, data = utf8(batch.column(2))
+            for row, at, part in pieces(offsets, data):
+                n = len(at) - 1
+                rows, kind, raw, template = tokens(at, part)
+                found, which, place = windows(rows, kind, raw, template, n)
+                first = np.searchsorted(rows, np.arange(n + 1))
+                total = np.diff(first)[which]
+                begin, size = first[which] + place, np.minimum(total, WINDOW)
+                of = pa.array(row + which)
+                yield _table([pa.array(found.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(place), pa.array(total), _slices(raw, begin, size), _slices(kind, begin, size)], ["hash", "item", "said", "place", "n_item", "own", "kinds"])
+
+    return items.mapInArrow(run, _WINDOWS)
+
+
+def suspected_windows(docs: DataFrame, held) -> DataFrame:
+    """Of (row, id, text) each window that the filter knows: row, id, hash, at (its place), doc (its tokens)."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        segments, bits = held.value
+        table = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            offsets, data = utf8(batch.column(2))
+            for row, at, part in pieces(offsets, data):
+                n = len(at) - 1
+                rows, sort, raw, template = tokens(at, part)
+                found, which, place = windows(rows, sort, raw, template, n)
+                hits = np.flatnonzero(_bloom.known(found, segments, table))
+                first = np.searchsorted(rows, np.arange(n + 1))
+                which, place = which[hits], place[hits]
+                of = pa.array(row + which)
+                doc = _slices(raw, first[which] + place, np.minimum(np.diff(first)[which], WINDOW))
+                yield _table([batch.column(0).take(of), batch.column(1).take(of), pa.array(found[hits].view(np.int64)), pa.array(place), doc], ["row", "id", "hash", "at", "doc"])
+
+    return docs.mapInArrow(run, f"row long, id {kind}, hash long, at long, doc binary")
+
+
+def longest_run(found) -> tuple[int, bool]:
+    """Tokens of the longest consistent run of the windows at one alignment, and whether no slot is filled anew.
+
+    found: (place in the document, tokens there, the item's tokens, their kinds), by place.
+    """
+    best, begin, last, anew = (0, False), 0, None, -1
+    # of each slot and filling: its partner, and the last place of the two
+    there: dict = {}
+    back: dict = {}
+    for p, docs, owns, sorts in found:
+        docs, owns = np.frombuffer(docs, np.uint64).tolist(), np.frombuffer(owns, np.uint64).tolist()
+        if last is None or p > last:  # the window doesn't continue the one before
+            begin = last = p
+        for at in range(last, p + len(docs)):
+            doc, own, sort = docs[at - p], owns[at - p], sorts[at - p]
+            if sort != WORD:
+                for held, one, other in ((there, own, doc), (back, doc, own)):
+                    partner, place = held.get((sort, one), (other, -1))
+                    if partner != other:  # the run goes on behind the earlier slot
+                        begin = max(begin, place + 1)
+                    held[sort, one] = other, at
+                if doc != own:
+                    anew = at
+            best = max(best, (at + 1 - begin, anew < begin))
+        last = p + len(docs)
+    return best
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, item_id, n_matched, n_item, coverage, exact) of every document and item of which it holds a run.
+
+    row_col: a column of longs that tells rows apart; with it the rows' numbers
+    are returned too, in front, under its name.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    schema = f"{id_col} {kind.simpleString()}, item_id long, n_matched long, n_item long, coverage double, exact boolean"
-    texts = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
-    out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(Benchmark([(r.item, r.text) for r in part.orderBy("item", "text").collect()]))
-
-        def run(batches, held=held):
-            bench = held.value
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            for batch in batches:
-                offsets, data = utf8(batch.column(1))
-                rows_out = []
-                for row, at, part in pieces(offsets, data):
-                    rows, sort, raw, template = tokens(at, part)
-                    found, which, place = windows(rows, sort, raw, template, len(at) - 1)
-                    hits = bench.matches(found)
-                    hits = hits[np.argsort(which[hits], kind="stable")]
-                    first = np.searchsorted(rows, np.arange(len(at)))
-                    held_by, begins = np.unique(which[hits], return_index=True)
-                    for k, own in zip(held_by.tolist(), np.split(hits, begins[1:])):
-                        tokens_of = slice(int(first[k]), int(first[k + 1]))
-                        for leak in bench.leaks(raw[tokens_of], place[own], found[own]):
-                            rows_out.append((row + k, *leak))
-                n = [x[3] for x in rows_out]
-                columns = [pa.array([x[c] for x in rows_out], types[c]) for c in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), columns[1], columns[2], columns[3], pa.array([x[2] / x[3] for x in rows_out], pa.float64()), columns[4]], names=[id_col, "item_id", "n_matched", "n_item", "coverage", "exact"])
-
-        made = texts.mapInArrow(run, schema)
-        out = made if out is None else out.union(made)
-    return out
+    held = written(benchmark_windows(items.select("item", F.xxhash64("text").alias("said"), "text")), "benchmark-windows")
+    known = docs.sparkSession.sparkContext.broadcast(_bloom.build(held.select("hash"), lambda b: np.asarray(b.column(0)).view(np.uint64), SPARSE * held.count()))
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    # all windows of a document come from one task, so the number that it gives a row holds for them all
+    texts = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    found = suspected_windows(texts, known).join(held, "hash").where(F.length("doc") == F.length("own"))
+    found = found.select("row", "item", "said", (F.col("at") - F.col("place")).alias("shift"), "at", "id", "n_item", "doc", "own", "kinds")
+    names = ["row", id_col, "item_id", "n_matched", "n_item", "coverage", "exact"]
+
+    def run(batches):
+        done: list[tuple] = []
+        id_type: list[pa.DataType] = []
+
+        def batch_of():
+            types = (pa.int64(), id_type[0], pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            columns = [pa.array([x[k] for x in done], t) for k, t in enumerate(types)]
+            done.clear()
+            return _table(columns, names)
+
+        def seen():
+            for b in batches:
+                if not id_type:
+                    id_type.append(b.column(5).type)
+                yield from zip(*(b.column(k).to_pylist() for k in range(10)))
+
+        for (row_, item, _), windows_ in groupby(seen(), lambda x: x[:3]):
+            best, total, id_ = (0, False), 0, None
+            for _, aligned in groupby(windows_, lambda x: x[3]):
+                # a window of either sort at a place is one
+                firsts = [next(same) for _, same in groupby(aligned, lambda x: x[4])]
+                id_, total = firsts[0][5], firsts[0][6]
+                best = max(best, longest_run((x[4], *x[7:]) for x in firsts))
+            if best[0] >= min(RUN, total):
+                done.append((row_, id_, item, best[0], total, best[0] / total, best[1]))
+                if len(done) >= 5000:
+                    yield batch_of()
+        if done:
+            yield batch_of()
+
+    order = ["row", "item", "said", "shift", "at"]
+    # rows of one document and item meet; their number is bounded by the document's length times the alignments it has with the item
+    out = found.repartition("row", "item", "said").sortWithinPartitions(*order).mapInArrow(run, f"row long, `{id_col}` {kind}, item_id long, n_matched long, n_item long, coverage double, exact boolean")
+    return out.drop("row") if row_col is None else out.withColumnRenamed("row", row_col)
