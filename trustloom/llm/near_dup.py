@@ -131,11 +131,17 @@ def _near(left: str, right: str, limit: int):
     return total <= limit
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the ids, once for each text that an id has, however often its row is repeated."""
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return written(texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that are links by their full sets.
 
-    Texts, not sets, travel: they are smaller.  Both joins deal the documents
-    by id in the same way, so the one shuffle of them serves twice.
+    Texts, not sets, travel: they are smaller.  Those of candidates are picked
+    first, so the corpus is dealt by id once and only they are joined twice.
     """
 
     def run(batches):
@@ -153,7 +159,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                 found = np.array([_linked(sets[x], sets[y], percent) for x, y in zip(left, right)], bool)
                 yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
 
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, id_col, text_col)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -172,8 +178,8 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 BLOCK = 256
 
 
-def _links_in_cell(key: int, left: list[tuple], right: list[tuple], percent: int, limit: float) -> list[tuple[int, int]]:
-    """Links between two blocks of a bucket; rows are (rep, component, bands, minima, set), left ones are outside its main component."""
+def _links_in_cell(key: int, left: list[tuple], right: list[tuple], percent: int, limit: int) -> list[tuple[int, int]]:
+    """Links between two blocks of a bucket; rows are (rep, component, bands, sketch, set), left ones are outside its main component."""
     ids = [np.array([x[0] for x in side]) for side in (left, right)]
     groups = [np.array([x[1] for x in side]) for side in (left, right)]
     bands = [np.stack([x[2] for x in side]) for side in (left, right)]
@@ -185,10 +191,10 @@ def _links_in_cell(key: int, left: list[tuple], right: list[tuple], percent: int
     open_ = first & (groups[0][:, None] != groups[1][None, :]) & ~(twice[None, :] & (ids[0][:, None] >= ids[1][None, :]))
     if not open_.any():
         return []
-    minima = [np.stack([x[3] for x in side]) for side in (left, right)]
-    agree = (minima[0][:, None, :] == minima[1][None, :, :]).sum(axis=2)
-    rows, columns = np.nonzero(open_ & (agree >= limit))
-    order = np.argsort(-agree[rows, columns], kind="stable")
+    sketches = [np.stack([x[3] for x in side]) for side in (left, right)]
+    apart = np.bitwise_count(sketches[0][:, None, :] ^ sketches[1][None, :, :]).sum(axis=2, dtype=np.int64)
+    rows, columns = np.nonzero(open_ & (apart <= limit))
+    order = np.argsort(apart[rows, columns], kind="stable")
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -216,27 +222,25 @@ def _links_by_blocks(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: i
 
     def sets(batches):
         for batch in batches:
-            offsets, data = utf8(batch.column(2))
+            offsets, data = utf8(batch.column(3))
             for row, at, part in pieces(offsets, data):
                 found = list(_sets(at, part, width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), batch.column(1).slice(row, len(found)), pa.array([sample_minima(x).tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "bands", "minima", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, len(found)) for k in range(3)), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "bands", "sketch", "shingles"])
 
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    wanted = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
-    full = written(wanted.join(texts, "rep").select("rep", "bands", "text").mapInArrow(sets, "rep long, bands array<long>, minima binary, shingles binary"), "sets")
-    # samples that a link agrees on, less seven standard deviations
-    likely = percent / 100
-    limit = SAMPLES * likely - 7 * math.sqrt(SAMPLES * likely * (1 - likely))
+    texts = texts_of(rest.select(F.col("rep").alias("id")), docs, id_col, text_col)
+    full = reps.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "bands", "sketch", "text")
+    full = written(full.mapInArrow(sets, "rep long, bands array<long>, sketch array<long>, shingles binary"), "sets")
+    limit = sketch_limit(percent / 100)
 
     def run(batches):
         held, sides = None, ([], [])
         for batch in batches:
-            for key, x, y, side, rep, component, bands, minima, shingles_ in zip(*(batch.column(k).to_pylist() for k in range(9))):
+            for key, x, y, side, rep, component, bands, sketch, shingles_ in zip(*(batch.column(k).to_pylist() for k in range(9))):
                 if (key, x, y) != held:
                     if held and sides[0] and sides[1]:
                         yield found_in(held[0], sides)
                     held, sides = (key, x, y), ([], [])
-                sides[side].append((rep, component, np.array(bands), np.frombuffer(minima, np.uint32), np.frombuffer(shingles_, np.uint64)))
+                sides[side].append((rep, component, np.array(bands), np.array(sketch).view(np.uint64), np.frombuffer(shingles_, np.uint64)))
         if held and sides[0] and sides[1]:
             yield found_in(held[0], sides)
 
@@ -244,7 +248,7 @@ def _links_by_blocks(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: i
         found = _links_in_cell(key, sides[0], sides[1], percent, limit)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    cells = left.union(right).join(full, "rep").select("key", "x", "y", "side", "rep", "component", "bands", "minima", "shingles")
+    cells = left.union(right).join(full, "rep").select("key", "x", "y", "side", "rep", "component", "bands", "sketch", "shingles")
     return cells.repartition(parallelism(docs.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -263,8 +267,10 @@ def _apart(entries: DataFrame, leader) -> DataFrame:
 def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", small: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """(whole, rep) of each class, and (node, component) of the representatives that have links."""
     limit = sketch_limit(percent / 100)
-    classes = written(sigs.where("n > 0 AND id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("rep")), "classes")
-    reps = written(sigs.join(classes.withColumnRenamed("rep", "id"), ["whole", "id"], "left_semi").select(F.col("id").alias("rep"), "bands", "sketch"), "representatives")
+    # bands and sketch follow from the set, so any row of a class has them
+    held = sigs.where("n > 0 AND id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    held = written(held, "classes")
+    classes, reps = held.select("whole", "rep"), held.select("rep", "bands", "sketch")
     entries = reps.select("rep", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key"), "bands")
@@ -283,7 +289,7 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         near = pairs.alias("p").join(sketches.alias("x"), F.col("p.a") == F.col("x.rep")).join(sketches.alias("y"), (F.col("p.b") == F.col("y.rep")) & _near("x", "y", limit))
-        near = written(near.select("p.a", "p.b"), "candidates")
+        near = written(near.select("p.a", "p.b").distinct(), "candidates")
         if near.isEmpty():
             return
         tested = near if tested is None else tested.union(near)
