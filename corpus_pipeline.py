@@ -3,6 +3,10 @@
 All stages but the last return the columns that they get.  Languages are
 learned from the labelled documents that the stage is given; a stage's
 statistics and candidates cover all of its input.
+
+A row is known by its doc_id and its text, so rows without a doc_id go like any
+other where they are near copies or leaks, and of rows that share one only
+those go that are.  Rows equal in both are one document and stay or go together.
 """
 
 from __future__ import annotations
@@ -44,16 +48,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(found, docs)
 
 
+def _row():
+    """A row's name, of its doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs but those in gone (id, row)."""
+    gone = gone.toDF("__id", "__row").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (_row() == F.col("__row")), "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = near_dup.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id stays (rows without an id: after all others)."""
+    rows = docs.select("doc_id", "text").withColumn("__row", _row())
+    found = near_dup.near_duplicates(rows, width=5, percent=80, id_col="__row")
+    # groups of one row have nothing to lose
+    groups = written(found.where("NOT kept").select("component_id", "__row").distinct(), "near-copies")
+    members = groups.union(groups.select("component_id", F.col("component_id"))).distinct()
+    named = members.join(rows.select("doc_id", "__row").distinct(), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    gone = named.join(first, "component_id").where("NOT (doc_id <=> first.doc_id AND __row = first.__row)")
+    return _without(docs, gone.select("doc_id", "__row"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a run of a benchmark item go."""
-    gone = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", "text").withColumn("__row", _row())
+    found = decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_col="__row")
+    return _without(docs, found.select("doc_id", "__row"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
