@@ -1,4 +1,4 @@
-"""A Bloom filter of 64-bit hashes of any table, built where the rows are and merged by segment.
+"""A Bloom filter of well mixed 64-bit hashes of any table, built where the rows are and merged by segment.
 
 Its size follows the number of entries up to a fixed bound; beyond that it
 lets more rows pass, so it may only stand before an exact step.
@@ -14,15 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trustloom.llm._bytes import U64, mix
+from trustloom.llm._bytes import U64
 
 SEGMENT_BITS = 1 << 16
 MOST_LOG2_BITS = 30
 
 
 def _bits(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = mix(hashes.astype(np.uint64, copy=False) + U64(0x9E3779B97F4A7C15))
-    return (h >> U64(40)).astype(np.int64) % segments, (h & U64(0xFFFF)).astype(np.int64), (h >> U64(16) & U64(0xFFFF)).astype(np.int64)
+    return (hashes >> U64(40)).astype(np.int64) & (segments - 1), (hashes & U64(0xFFFF)).astype(np.int64), (hashes >> U64(16) & U64(0xFFFF)).astype(np.int64)
 
 
 def build(rows: DataFrame, hashed: Callable[[pa.RecordBatch], np.ndarray], entries: int) -> tuple[int, bytes]:
@@ -66,6 +65,11 @@ def build(rows: DataFrame, hashed: Callable[[pa.RecordBatch], np.ndarray], entri
 
 def known(hashes: np.ndarray, segments: int, table: np.ndarray) -> np.ndarray:
     """Which hashes may be in the filter; table: its bits as bytes."""
-    segment, a, b = _bits(hashes, segments)
+    segment = (hashes >> U64(40)).astype(np.int64) & (segments - 1)
     at = segment * (SEGMENT_BITS // 8)
-    return ((table[at + (a >> 3)] >> (a & 7).astype(np.uint8)) & (table[at + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+    out = np.zeros(len(hashes), bool)
+    bit = (hashes & U64(0xFFFF)).astype(np.int64)
+    near = np.flatnonzero(table[at + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1)
+    bit = (hashes[near] >> U64(16) & U64(0xFFFF)).astype(np.int64)
+    out[near] = table[at[near] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1
+    return out

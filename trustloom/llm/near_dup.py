@@ -132,16 +132,20 @@ def _near(left: str, right: str, limit: int):
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the ids, once for each text that an id has, however often its row is repeated."""
+    """(id, text) of the ids, once for each text that an id has, however often its row is repeated.
+
+    At scale both sides shuffle, and so they do here at any size: plans that
+    change with the size would be measured in one form and run in another.
+    """
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    return written(texts.join(ids.distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links by their full sets.
 
-    Texts, not sets, travel: they are smaller.  Those of candidates are picked
-    first, so the corpus is dealt by id once and only they are joined twice.
+    Texts (id, text), not sets, travel: they are smaller.  Both joins deal them
+    by id in the same way, so the one shuffle of them serves twice.
     """
 
     def run(batches):
@@ -159,7 +163,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                 found = np.array([_linked(sets[x], sets[y], percent) for x, y in zip(left, right)], bool)
                 yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
 
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, id_col, text_col)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -211,7 +214,7 @@ def _links_in_cell(key: int, left: list[tuple], right: list[tuple], percent: int
     return out
 
 
-def _links_by_blocks(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _links_by_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between components inside large buckets: rest has (key, rep, component, size)."""
     share = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
     share = share.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("all") / BLOCK).cast("int").alias("inner"))
@@ -227,8 +230,8 @@ def _links_by_blocks(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: i
                 found = list(_sets(at, part, width))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, len(found)) for k in range(3)), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "bands", "sketch", "shingles"])
 
-    texts = texts_of(rest.select(F.col("rep").alias("id")), docs, id_col, text_col)
-    full = reps.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "bands", "sketch", "text")
+    wanted = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
+    full = wanted.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "bands", "sketch", "text")
     full = written(full.mapInArrow(sets, "rep long, bands array<long>, sketch array<long>, shingles binary"), "sets")
     limit = sketch_limit(percent / 100)
 
@@ -249,7 +252,7 @@ def _links_by_blocks(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: i
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
     cells = left.union(right).join(full, "rep").select("key", "x", "y", "side", "rep", "component", "bands", "sketch", "shingles")
-    return cells.repartition(parallelism(docs.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+    return cells.repartition(parallelism(rest.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _with_component(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -274,6 +277,8 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
     entries = reps.select("rep", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key"), "bands")
+    # the corpus is dealt by id once; only texts of documents that share a bucket are joined later
+    texts = texts_of(entries.select(F.col("rep").alias("id")), docs, id_col, text_col)
     sketches = reps.select("rep", "sketch")
     links, tested, groups = None, None, None
 
@@ -293,7 +298,7 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
         if near.isEmpty():
             return
         tested = near if tested is None else tested.union(near)
-        joined(written(confirmed(near, docs, width, percent, id_col, text_col), "confirmed"))
+        joined(written(confirmed(near, texts, width, percent), "confirmed"))
 
     # leaders: the smallest id, then the member with most links, then a random one
     for turn in range(3):
@@ -316,7 +321,7 @@ def linked_groups(docs: DataFrame, sigs: DataFrame, width: int, percent: int, id
     rest = written(_apart(_with_component(entries, groups), F.min("rep")).select("key", "rep", "component", "size"), "apart")
     large = rest.where(F.col("size") > small)
     if not large.isEmpty():
-        joined(written(_links_by_blocks(large, reps, docs, width, percent, id_col, text_col), "block-links"))
+        joined(written(_links_by_blocks(large, reps, texts, width, percent), "block-links"))
     cells = rest.where(F.col("size") <= small).drop("component", "size").join(sketches, "rep")
     cells = _with_component(cells, groups)
     x, y = cells.alias("x"), cells.alias("y")
