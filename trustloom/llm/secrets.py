@@ -44,27 +44,34 @@ date hour minute second day week month year address phone email account customer
 donde cuando porque entre sobre maison toujours bonjour pendant quelque zwischen immer heute strasse wieder gewesen""".split()
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _spans(text: Column, pattern: str, keep=None) -> Column:
     """array<struct<a,b,s>> of the matches: begin, end, string; from the lengths of matches and of what lies between."""
+    none = F.array().cast("array<struct<a:int,b:int,s:string>>")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    n = F.size(matches)
-    parts = F.zip_with(F.slice(gaps, F.lit(1), n), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("s")))
+    parts = _let(matches, lambda m: F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("g"), F.length(x).alias("m"), x.alias("s"))))
 
-    # blocks keep the work on a text with very many matches from growing with their square
-    def block(k: Column) -> Column:
-        before = F.aggregate(F.slice(parts, F.lit(1), k * BLOCK), F.lit(0), lambda x, p: x + p["g"] + p["m"])
-        none = F.array().cast("array<struct<a:int,b:int,s:string>>")
-        start = F.struct(before.alias("at"), none.alias("out"))
+    # the matches are found once; blocks, which begin where the lengths before them sum to, keep
+    # the work on a text with very many of them from growing with their square
+    def placed(held: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
+        of = lambda k: F.slice(held, k * BLOCK + 1, F.lit(BLOCK))
+        sizes = F.transform(blocks, lambda k: F.aggregate(of(k), F.lit(0), lambda x, p: x + p["g"] + p["m"]))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(sizes, begin, lambda x, n: F.struct((x["at"] + n).alias("at"), F.array_append(x["out"], x["at"]).alias("out")), lambda x: x["out"])
 
         def step(x: Column, p: Column) -> Column:
             a = x["at"] + p["g"]
             return F.struct((a + p["m"]).alias("at"), F.array_append(x["out"], F.struct(a.alias("a"), (a + p["m"]).alias("b"), p["s"].alias("s"))).alias("out"))
 
-        return F.aggregate(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK)), start, step, lambda x: x["out"])
+        return F.flatten(F.zip_with(blocks, begins, lambda k, at: F.aggregate(of(k), F.struct(at.alias("at"), none.alias("out")), step, lambda x: x["out"])))
 
-    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
-    found = F.when(text.rlike(pattern), F.flatten(F.transform(blocks, block))).otherwise(F.array().cast("array<struct<a:int,b:int,s:string>>"))
+    found = F.when(text.rlike(pattern), _let(parts, placed)).otherwise(none)
     return F.filter(found, keep) if keep is not None else found
 
 
@@ -117,11 +124,6 @@ def train(labelled: DataFrame) -> list[int]:
     return out
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with the value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def secret_runs(token: Column, base: Column, model: list[int], least: int) -> Column:
     """array<struct<a,k,b>> of the runs of a token <a,b,s> whose log ratios sum to ``least`` thousandths.
 
