@@ -6,7 +6,8 @@
    both had it in the first, so no line that two documents hold is missed.
 2. Lines that the second filter knows are suspects.  Their 128-bit digests are
    grouped for the exact answer and the smallest doc_id.
-3. Documents lose the confirmed lines that another document keeps.
+3. Documents lose the confirmed lines that another document keeps.  The most
+   common lines, a bounded number, are looked up where the documents are.
 
 The filter has a fixed number of bits by the number of documents, at most
 2**MOST_LOG2_BITS (128 MB); beyond the documents which that serves more lines
@@ -37,6 +38,8 @@ SEGMENT_BITS = 1 << 16
 MOST_LOG2_BITS = 30
 BITS_PER_DOCUMENT = 512
 PROBES = 4
+#: Lines that are sent to all tasks, at most (24 bytes each).
+MOST_COMMON = 10_000
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -53,18 +56,13 @@ def _probes(h: int, segments: int) -> tuple[int, list[int]]:
     return (h >> 40) % segments, at
 
 
-def _bit_table(spots: list[int]) -> np.ndarray:
-    bits = np.zeros(SEGMENT_BITS, np.uint8)
-    bits[spots] = 1
-    return np.packbits(bits, bitorder="little")
-
-
 def twice_filter(docs: DataFrame, id_col: str, text_col: str, least: int, segments: int):
     """Segments of the filter of hashes seen in two documents: (segment, bits)."""
 
     def local(batches):
-        once: dict[int, set] = {}
-        twice: dict[int, set] = {}
+        # bytes of the touched segments: at most the filter's size each, whatever the task reads
+        once: dict[int, bytearray] = {}
+        twice: dict[int, bytearray] = {}
         for batch in batches:
             offsets, data = utf8(batch.column(0))
             raw = data.tobytes()
@@ -72,16 +70,18 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, least: int, segmen
                 keys = {k for line in raw[a:b].split(b"\n") if (k := line_key(line, least)) is not None}
                 for key in keys:
                     segment, spots = _probes(xxhash.xxh3_64_intdigest(key), segments)
-                    seen = once.setdefault(segment, set())
-                    if seen.issuperset(spots):
-                        twice.setdefault(segment, set()).update(spots)
-                    else:
-                        seen.update(spots)
+                    seen = once.get(segment)
+                    if seen is None:
+                        seen = once[segment] = bytearray(SEGMENT_BITS // 8)
+                    if all(seen[x >> 3] >> (x & 7) & 1 for x in spots):
+                        seen = twice.setdefault(segment, bytearray(SEGMENT_BITS // 8))
+                    for x in spots:
+                        seen[x >> 3] |= 1 << (x & 7)
         names = sorted(once)
         for k in range(0, len(names), 1024):
             part = names[k : k + 1024]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array([zlib.compress(_bit_table(list(once[s])), 1) for s in part], pa.binary()), pa.array([zlib.compress(_bit_table(list(twice[s])), 1) if s in twice else None for s in part], pa.binary())],
+                [pa.array(part, pa.int32()), pa.array([zlib.compress(once[s], 1) for s in part], pa.binary()), pa.array([zlib.compress(twice[s], 1) if s in twice else None for s in part], pa.binary())],
                 names=["segment", "once", "twice"],
             )
 
@@ -144,8 +144,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the filter's size is bounded by MOST_LOG2_BITS
     known = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in twice_filter(docs, id_col, text_col, least, segments).toLocalIterator()})
     found = written(suspects(docs, known, id_col, text_col, least, segments), "suspect-lines")
-    confirmed = found.groupBy("line").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").drop("last")
-    return found.join(confirmed, "line").where("id > keeper").groupBy("id").agg(F.collect_set("line").alias("lines"))
+    confirmed = found.groupBy("line").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("n")).where("keeper < last").drop("last")
+    confirmed = written(confirmed, "confirmed-lines")
+    # lines with over 1 / MOST_COMMON of all rows: at most MOST_COMMON, so they may go to every task, and no task gets one whole
+    common = found.count() // MOST_COMMON
+    often, rest = confirmed.where(F.col("n") > common).drop("n"), confirmed.where(F.col("n") <= common).drop("n")
+    lost = found.join(F.broadcast(often), "line").union(found.join(F.broadcast(often.select("line")), "line", "left_anti").join(rest, "line"))
+    return lost.where("id > keeper").groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
