@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
@@ -14,7 +16,6 @@ ABBREVIATIONS = (
     "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "inc", "ltd", "corp", "co", "st", "ave", "blvd", "rd",
     "ph.d", "m.d", "b.a", "m.a", "u.s", "u.k", "n.y", "l.a", "d.c",
 )
-_POINT = "\u0001"
 
 
 def strip(c: Column) -> Column:
@@ -77,24 +78,14 @@ def code_of(c: Column) -> Column:
     return F.when(c.isNull(), "").when(~text.contains("```"), bare).when(F.size(blocks) > 0, strip(longest)).otherwise(strip(F.regexp_replace(text, "```+", "")))
 
 
+#: White space after . ! or ? and before an ASCII capital, but not after an abbreviation's last point.  Points inside
+#: numbers and abbreviations have no white space behind them, so they need no rule of their own.
+_SENTENCE_END = rf"(?<=[.!?])(?<!(?<![\p{{L}}\p{{N}}_])(?i:{'|'.join(re.escape(x) for x in sorted(ABBREVIATIONS, key=len, reverse=True))})\.)\s+(?=[A-Z])"
+
+
 def sentences(c: Column) -> Column:
     """Pieces that end in . ! or ? before white space and an ASCII capital; decimals and abbreviations don't end one."""
-    text = F.regexp_replace(c, r"(\d+)\.(\d+)", f"$1{_POINT}$2")
-    for name in sorted(ABBREVIATIONS, key=len, reverse=True):
-        # points inside an abbreviation first, its last point with them
-        found = name.replace(".", r"\.")
-        groups = "".join(f"({x})" if x != "." else r"\." for x in _split_points(name))
-        marks = _POINT.join(f"${k + 1}" for k in range(found.count("\\.") + 1))
-        text = F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}_]){groups}\.", marks + _POINT)
-    parts = F.split(strip(text), r"(?<=[.!?])\s+(?=[A-Z])")
-    return F.transform(parts, lambda p: strip(F.replace(p, F.lit(_POINT), F.lit("."))))
-
-
-def _split_points(name: str) -> list[str]:
-    out: list[str] = []
-    for k, part in enumerate(name.split(".")):
-        out += ["."] * (k > 0) + [part]
-    return out
+    return F.transform(F.split(strip(c), _SENTENCE_END), strip)
 
 
 def no_claims(c: Column) -> Column:
