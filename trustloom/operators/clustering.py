@@ -18,7 +18,12 @@ _WIDE = 1_000_000
 
 def equivalences(responses: DataFrame, nli: Nli) -> DataFrame:
     """(prompt_id, i, j) with i < j where either direction's likeliest class is entailment."""
-    return with_nli(ordered_pairs(responses), "a", "b", nli).where(F.col("top_ab") | F.col("top_ba")).select("prompt_id", "i", "j")
+    return equivalent(with_nli(ordered_pairs(responses), "a", "b", nli))
+
+
+def equivalent(pairs: DataFrame) -> DataFrame:
+    """The same of ordered pairs with their probabilities."""
+    return pairs.where(F.col("top_ab") | F.col("top_ba")).select("prompt_id", "i", "j")
 
 
 def memberships(responses: DataFrame, edges: DataFrame, exclusive: bool = False) -> DataFrame:

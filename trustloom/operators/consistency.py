@@ -15,7 +15,11 @@ def exact_match(responses: DataFrame) -> DataFrame:
 
 def consistency(responses: DataFrame, nli: Nli) -> DataFrame:
     """(prompt_id, noncontradiction, entailment): means over samples of both directions' mean."""
-    rows = with_nli(original_with_samples(responses), "original", "sample", nli)
+    return of_pairs(with_nli(original_with_samples(responses), "original", "sample", nli))
+
+
+def of_pairs(rows: DataFrame) -> DataFrame:
+    """The same of pairs with their probabilities; only those with the original are read."""
     return rows.groupBy("prompt_id").agg(
         F.avg(((1.0 - F.col("contra_ab")) + (1.0 - F.col("contra_ba"))) / 2.0).alias("noncontradiction"),
         F.avg((F.col("entail_ab") + F.col("entail_ba")) / 2.0).alias("entailment"),

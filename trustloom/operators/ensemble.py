@@ -79,13 +79,20 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def confusion(counts: DataFrame, thresholds: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """tp, fp, fn, tn of score > threshold for every row of thresholds (fixed size, sent to all tasks)."""
-    keys = keys or ["threshold"]
-    over = F.col("score") > F.col("threshold")
-    rows = counts.join(F.broadcast(thresholds))
+    """tp, fp, fn, tn of score > threshold for every row of thresholds (fixed size, sent to all tasks).
+
+    Scores are first counted by how many thresholds lie below them, so what
+    meets the thresholds is as long as they are, not as there are scores.
+    """
+    others = [k for k in keys or [] if k != "threshold"]
+    steps = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("steps"))
+    below = counts.where("score IS NOT NULL").join(F.broadcast(steps)).withColumn("below", F.size(F.filter("steps", lambda t: t < F.col("score"))))
+    binned = below.groupBy(*others, "below").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    rank = steps.select(F.posexplode("steps").alias("at", "threshold"))
+    over = F.col("below") > F.col("at")
     count = lambda c, x: F.sum(F.when(c, x).otherwise(0)).alias
     neg = F.col("n") - F.col("pos")
-    return rows.groupBy(*keys).agg(count(over, F.col("pos"))("tp"), count(over, neg)("fp"), count(~over, F.col("pos"))("fn"), count(~over, neg)("tn"))
+    return binned.join(F.broadcast(rank)).groupBy(*others, "threshold").agg(count(over, F.col("pos"))("tp"), count(over, neg)("fp"), count(~over, F.col("pos"))("fn"), count(~over, neg)("tn"))
 
 
 def with_threshold_metrics(found: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -129,23 +136,38 @@ def tuned_weights_and_threshold(wide: DataFrame, columns: list[str], weights: Da
     return best.select(*[(-F.col(f"b.o{k}")).alias(c) for k, c in enumerate([*names, "threshold"])], F.col("b.value").alias("value"))
 
 
-def auc(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys..., roc_auc) by ranks with ties in the middle; null without both classes.
+#: Scores are cut into this many ranges of equal width (from 0 to 1) to be ordered apart.
+RANGES = 1024
+
 
-    counts hold one row for each distinct score, so the window over one scorer
-    is as long as its distinct scores.
+def _with_before(counts: DataFrame, keys: list[str], falling: bool) -> DataFrame:
+    """Adds pos_before and n_before: sums over the scores before (falling: the higher ones).
+
+    Ranges of scores are summed up on their own, then each is moved by the sum
+    of those before it: no task gets all scores of a scorer.
     """
+    order = lambda c: F.desc(c) if falling else F.asc(c)
+    rows = counts.withColumn("range", F.floor(F.col("score") * RANGES))
+    by = [*keys, "range"]
+    prior = Window.partitionBy(*keys).orderBy(order("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("n").alias("m")).select(*by, *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"{c}_moved") for c in ("p", "m")])
+    inside = Window.partitionBy(*by).orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "n")}
+    found = rows.withColumns(before).join(ranges, by)
+    return found.withColumns({"pos_before": F.col("pos_before") + F.col("p_moved"), "n_before": F.col("n_before") + F.col("m_moved")}).drop("range", "p_moved", "m_moved")
+
+
+def auc(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., roc_auc) by ranks with ties in the middle; null without both classes."""
     keys = keys or []
-    before = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("won", F.col("pos") * (before + (F.col("n") - F.col("pos")) / 2.0))
+    rows = _with_before(counts, keys, False).withColumn("won", F.col("pos") * (F.col("n_before") - F.col("pos_before") + (F.col("n") - F.col("pos")) / 2.0))
     return rows.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * (F.sum("n") - F.sum("pos"))).alias("roc_auc"))
 
 
 def average_precision(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys..., average_precision): step-wise over distinct scores, from the highest."""
     keys = keys or []
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
+    rows = _with_before(counts, keys, True).withColumn("precision", (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n")))
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos").cast("double")).alias("average_precision"))
 
 

@@ -35,10 +35,12 @@ SELECT prompt_id, round(em, 6) AS exact_match, round(nc, 6) AS noncontradiction,
 FROM en JOIN po USING (prompt_id) JOIN co USING (prompt_id)""")
 def blackbox_scores(spark, d):
     r = B.responses(spark, d)
-    members = C.memberships(r, C.equivalences(r, char_nli))
+    # all pairs are looked up once; those with the original are among them
+    scored = P.with_nli(P.ordered_pairs(r), "a", "b", char_nli)
+    members = C.memberships(r, C.equivalent(scored))
     sizes = r.groupBy("prompt_id").agg(F.count("*").alias("n"))
     negentropy = C.entropy(C.cluster_probabilities(members)).join(sizes, "prompt_id").select("prompt_id", (1.0 - F.col("entropy") / F.ln(F.col("n").cast("double"))).alias("semantic_negentropy"))
-    out = K.exact_match(r).join(K.consistency(r, char_nli), "prompt_id").join(negentropy, "prompt_id").join(C.sets_confidence(r, members), "prompt_id")
+    out = K.exact_match(r).join(K.of_pairs(scored.where("i = 0")), "prompt_id").join(negentropy, "prompt_id").join(C.sets_confidence(r, members), "prompt_id")
     return rounded(out, "exact_match", "noncontradiction", "entailment", "semantic_negentropy", "semantic_sets_confidence")
 
 
