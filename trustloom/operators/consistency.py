@@ -53,8 +53,13 @@ def bert_score(token_vectors: DataFrame) -> DataFrame:
     """
     a = token_vectors.where("sample_idx = 0").select("prompt_id", F.col("token_idx").alias("i"), F.col("vec").alias("a"))
     b = token_vectors.where("sample_idx > 0").select("prompt_id", "sample_idx", F.col("token_idx").alias("j"), F.col("vec").alias("b"))
-    cells = a.join(b, "prompt_id").select("prompt_id", "sample_idx", "i", "j", _dot(F.col("a"), F.col("b")).alias("c"))
-    recall = cells.groupBy("prompt_id", "sample_idx", "i").agg(F.max("c").alias("c")).groupBy("prompt_id", "sample_idx").agg(F.avg("c").alias("r"))
-    precision = cells.groupBy("prompt_id", "sample_idx", "j").agg(F.max("c").alias("c")).groupBy("prompt_id", "sample_idx").agg(F.avg("c").alias("p"))
+    return token_f1(a.join(b, "prompt_id"), ["prompt_id", "sample_idx"]).groupBy("prompt_id").agg(F.avg("score").alias("bert_score"))
+
+
+def token_f1(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., score): F1 of greedy matching of the token vectors a (by i) and b (by j) of each pair of texts."""
+    cells = pairs.select(*keys, "i", "j", _dot(F.col("a"), F.col("b")).alias("c"))
+    recall = cells.groupBy(*keys, "i").agg(F.max("c").alias("c")).groupBy(*keys).agg(F.avg("c").alias("r"))
+    precision = cells.groupBy(*keys, "j").agg(F.max("c").alias("c")).groupBy(*keys).agg(F.avg("c").alias("p"))
     f1 = F.try_divide(2.0 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
-    return recall.join(precision, ["prompt_id", "sample_idx"]).groupBy("prompt_id").agg(F.avg(f1).alias("bert_score"))
+    return recall.join(precision, keys).select(*keys, f1.alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as T
+from trustloom.operators.consistency import cosine, token_f1
 from trustloom.operators.pairs import Nli, claims_with_claim_sets, claims_with_responses
 
 NLI_SCORES = ("entailment", "noncontradiction", "contrasted_entailment")
@@ -60,6 +61,21 @@ def matched_similarity(pairs: DataFrame, name: str) -> DataFrame:
     return best.groupBy("prompt_id", "claim_idx").agg(F.avg("s").alias(name))
 
 
+def matched_cosine(vectors: DataFrame) -> DataFrame:
+    """(prompt_id, claim_idx, cosine_sim) of claims' vectors (prompt_id, sample_idx, claim_idx, vec); sample 0 is the original."""
+    own = vectors.where("sample_idx = 0").select("prompt_id", "claim_idx", F.col("vec").alias("a"))
+    others = vectors.where("sample_idx > 0").select("prompt_id", "sample_idx", F.col("vec").alias("b"))
+    pairs = own.join(others, "prompt_id").select("prompt_id", "claim_idx", "sample_idx", (0.5 + cosine(F.col("a"), F.col("b")) / 2.0).alias("score"))
+    return matched_similarity(pairs, "cosine_sim")
+
+
+def matched_tokens(vectors: DataFrame) -> DataFrame:
+    """(prompt_id, claim_idx, bert_score) of claims' token vectors (prompt_id, sample_idx, claim_idx, token_idx, vec)."""
+    own = vectors.where("sample_idx = 0").select("prompt_id", "claim_idx", F.col("token_idx").alias("i"), F.col("vec").alias("a"))
+    others = vectors.where("sample_idx > 0").select("prompt_id", "sample_idx", F.col("claim_idx").alias("other_idx"), F.col("token_idx").alias("j"), F.col("vec").alias("b"))
+    return matched_similarity(token_f1(own.join(others, "prompt_id"), ["prompt_id", "claim_idx", "sample_idx", "other_idx"]), "bert_score")
+
+
 def _total(how: str):
     if how not in ("mean", "min"):
         raise ValueError("aggregation must be mean or min")

@@ -237,14 +237,20 @@ class LongTextScorer:
         self.scorers = L.checked(mode, list(scorers or ["entailment"]))
         self.nli, self.mode, self.aggregation, self.refine_by, self.threshold = nli, mode, aggregation, refine_by, threshold
 
-    def score(self, responses: DataFrame, claims: DataFrame | None = None) -> Result:
+    def score(self, responses: DataFrame, claims: DataFrame | None = None, embeddings: DataFrame | None = None, token_vectors: DataFrame | None = None) -> Result:
+        """embeddings, token_vectors: vectors of claims and of their tokens, for cosine_sim and bert_score of mode matched_unit."""
         claims = L.decomposed(responses) if claims is None else claims
         original = claims.where("sample_idx = 0")
+        rows = original.select("prompt_id", "claim_idx", "claim")
         if self.mode == "unit_response":
-            scores = L.unit_response(original, responses.where("sample_idx > 0"), self.nli)
-        else:
-            scores = L.matched_unit(original, claims.where("sample_idx > 0"), self.nli)
-        rows = original.select("prompt_id", "claim_idx", "claim").join(scores, ["prompt_id", "claim_idx"])
+            rows = rows.join(L.unit_response(original, responses.where("sample_idx > 0"), self.nli), ["prompt_id", "claim_idx"])
+        elif set(self.scorers) & set(L.NLI_SCORES):
+            rows = rows.join(L.matched_unit(original, claims.where("sample_idx > 0"), self.nli), ["prompt_id", "claim_idx"])
+        for name, given, of in (("cosine_sim", embeddings, L.matched_cosine), ("bert_score", token_vectors, L.matched_tokens)):
+            if name in self.scorers:
+                if given is None:
+                    raise ValueError(f"{name} needs {'embeddings' if name == 'cosine_sim' else 'token_vectors'}")
+                rows = rows.join(of(given), ["prompt_id", "claim_idx"], "left")
         first = responses.where("sample_idx = 0")
         parts = [L.response_scores(rows, self.scorers, self.aggregation)]
         rows = L.marked(rows, self.refine_by or self.scorers[0], self.threshold)

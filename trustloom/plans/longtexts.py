@@ -11,7 +11,7 @@ from trustloom.operators import longform as L
 from trustloom.operators import pairs as P
 from trustloom.plans.registry import query
 from trustloom.plans.scoring import rounded
-from trustloom.plans.sql import R2, entail, words
+from trustloom.plans.sql import E1, R2, entail, words
 from trustloom.sources import bindings as B
 
 
@@ -66,6 +66,29 @@ def matched_unit(spark, d):
     return rounded(L.matched_unit(original, sampled, word_nli), *L.NLI_SCORES)
 
 
+def claim_vectors(spark, d, per_claim):
+    """All vectors of a label, by eights, stand for the tokens of its answers' claims."""
+    n = F.col("sample_idx")
+    return B.embeddings(spark, d).select(F.col("prompt_id").cast("long"), F.floor(n / 8).cast("int").alias("sample_idx"), F.floor(n % 8 / per_claim).cast("int").alias("claim_idx"), (n % per_claim).cast("int").alias("token_idx"), "vec")
+
+
+@query("matched_cosine", "L4", f"""WITH {E1}, c AS (SELECT prompt_id, sample_idx // 8 AS s, sample_idx % 8 AS k, vec FROM e1),
+b AS (SELECT x.prompt_id, x.k, y.s, greatest(max(0.5::DOUBLE + list_cosine_similarity(x.vec, y.vec) / 2), 0) AS m FROM c x JOIN c y USING (prompt_id) WHERE x.s = 0 AND y.s > 0 GROUP BY 1, 2, 3)
+SELECT prompt_id, k::INT AS claim_idx, round(avg(m), 6) AS cosine_sim FROM b GROUP BY 1, 2""")
+def matched_cosine(spark, d):
+    return rounded(L.matched_cosine(claim_vectors(spark, d, 1)), "cosine_sim")
+
+
+@query("matched_tokens", "L4", f"""WITH {E1}, c AS (SELECT prompt_id, sample_idx // 8 AS s, sample_idx % 8 // 2 AS k, sample_idx % 2 AS t, vec FROM e1),
+d AS MATERIALIZED (SELECT x.prompt_id, x.k, y.s, y.k AS o, x.t AS i, y.t AS j, list_dot_product(x.vec, y.vec) AS dot FROM c x JOIN c y USING (prompt_id) WHERE x.s = 0 AND y.s > 0),
+re AS (SELECT prompt_id, k, s, o, avg(m) AS r FROM (SELECT prompt_id, k, s, o, i, max(dot) AS m FROM d GROUP BY ALL) GROUP BY ALL),
+pe AS (SELECT prompt_id, k, s, o, avg(m) AS p FROM (SELECT prompt_id, k, s, o, j, max(dot) AS m FROM d GROUP BY ALL) GROUP BY ALL),
+b AS (SELECT prompt_id, k, s, greatest(max(2.0::DOUBLE * (p * r) / (p + r)), 0) AS m FROM re JOIN pe USING (prompt_id, k, s, o) GROUP BY 1, 2, 3)
+SELECT prompt_id, k::INT AS claim_idx, round(avg(m), 6) AS bert_score FROM b GROUP BY 1, 2""")
+def matched_tokens(spark, d):
+    return rounded(L.matched_tokens(claim_vectors(spark, d, 2)), "bert_score")
+
+
 @query("response_scores", "L5", f"WITH {UNIT} SELECT prompt_id, round(avg(entailment), 6) AS mean_entailment, round(min(entailment), 6) AS min_entailment FROM us GROUP BY 1")
 def response_scores(spark, d):
     s = unit_scores(spark, d)
