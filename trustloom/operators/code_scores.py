@@ -56,9 +56,20 @@ def _grams(tokens: Column, n: int) -> Column:
 
 
 def _clipped(a: Column, b: Column, unit) -> tuple[Column, Column]:
-    """Weight of b's n-grams that a has as often, and of all of b's."""
-    count = lambda arr, g: F.size(F.filter(arr, lambda z: z == g)).cast("double")
-    hits = F.aggregate(F.array_distinct(b), F.lit(0.0), lambda s, g: s + unit(g) * F.least(count(a, g), count(b, g)))
+    """Weight of b's n-grams that a has as often, and of all of b's; grams are counted in sorted order, in one pass."""
+    def state(g: Column, x: Column, y: Column, total: Column) -> Column:
+        return F.struct(g.alias("g"), x.alias("x"), y.alias("y"), total.alias("sum"))
+
+    def closed(s: Column) -> Column:
+        return s["sum"] + unit(s["g"]) * F.least(s["x"], s["y"])
+
+    def step(s: Column, r: Column) -> Column:
+        return F.when(s["g"] == r["g"], state(s["g"], s["x"] + r["x"], s["y"] + r["y"], s["sum"])).otherwise(state(r["g"], r["x"], r["y"], closed(s)))
+
+    one, none = F.lit(1.0), F.lit(0.0)
+    marked = lambda grams, x, y: F.transform(grams, lambda g: F.struct(g.alias("g"), x.alias("x"), y.alias("y")))
+    both = F.array_sort(F.concat(marked(a, one, none), marked(b, none, one)))
+    hits = F.aggregate(both, state(F.lit(""), none, none, none), step, closed)
     return hits, F.aggregate(b, F.lit(0.0), lambda s, g: s + unit(g))
 
 
