@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.functions.verdicts import equivalence
 from trustloom.operators.pairs import ordered_pairs
+from trustloom.operators.program_runner import FAILED, HUNG, outputs_agree
 
 KEYWORDS = ("and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield")
 SCORERS = {
@@ -91,8 +93,8 @@ def ngram_bleu(pairs: DataFrame, reference: str, candidate: str, n: int = 4, wei
 def codebleu(pairs: DataFrame) -> DataFrame:
     """(prompt_id, codebleu): mean over pairs (prompt_id, original, sample) of plain and keyword-weighted n-gram overlap.
 
-    The syntax-tree and data-flow parts of the measure need a parser that isn't
-    available here; the two parts that remain have equal weight.
+    These two parts need no parser, so any language will do; codebleu_of_python
+    has the syntax-tree and data-flow parts too.
     """
     rows = ngram_bleu(ngram_bleu(pairs, "original", "sample").withColumnRenamed("bleu", "b1"), "original", "sample", weighted=True)
     return rows.groupBy("prompt_id").agg(F.avg((F.col("b1") + F.col("bleu")) / 2.0).alias("codebleu"))
@@ -112,20 +114,6 @@ def output_matches(actual: Column, expected: Column) -> Column:
     return F.when(F.size(a) != F.size(b), False).otherwise(F.forall(F.zip_with(a, b, line), lambda z: z))
 
 
-def outputs_agree(actual: str, expected: str) -> bool:
-    """What output_matches says, of one pair."""
-    from decimal import Decimal, InvalidOperation
-
-    def numbers(line: str) -> list | None:
-        try:
-            return [Decimal(x) for x in line.split()]
-        except InvalidOperation:
-            return None
-
-    a, b = ([x.strip() for x in text.strip().split("\n")] for text in (actual, expected))
-    return len(a) == len(b) and all(x == y or (numbers(x) is not None and numbers(x) == numbers(y)) for x, y in zip(a, b))
-
-
 def run_cases(rows: DataFrame, timeout: float = 6.0, memory_mb: int = 1024) -> DataFrame:
     """(row_id, passed): each program (row_id, code, cases array<struct<input,output>>) run on its cases in a process of its own.
 
@@ -136,8 +124,6 @@ def run_cases(rows: DataFrame, timeout: float = 6.0, memory_mb: int = 1024) -> D
         import subprocess
         import sys
 
-        import pandas as pd
-
         def bounded():
             resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
 
@@ -157,3 +143,81 @@ def run_cases(rows: DataFrame, timeout: float = 6.0, memory_mb: int = 1024) -> D
             yield pd.DataFrame({"row_id": frame["row_id"], "passed": out})
 
     return rows.mapInPandas(run, "row_id long, passed boolean")
+
+
+def grade_programs(rows: DataFrame, timeout: float = 6.0, memory_mb: int = 1024) -> DataFrame:
+    """(row_id, passed, error_code, error_message, n_run): each program (row_id, code, entry, cases) on its cases, until one fails.
+
+    With an entry, the function of that name is called with JSON arguments, one
+    a line of input, and must return the JSON output; without one (null or
+    blank), the program reads its input and its printed output is compared.
+    ``timeout`` is for each case; the process as a whole has five seconds more.
+    The code is untrusted: give executors no credentials or network for this.
+    Null code is an empty program; a program without cases passes.
+    """
+    import inspect
+
+    from trustloom.operators import program_runner
+
+    source = inspect.getsource(program_runner)
+
+    def run(frames):
+        import json
+        import resource
+        import subprocess
+        import sys
+
+        def bounded():
+            resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
+
+        def one(r) -> dict:
+            cases = [] if r.cases is None else [{"input": c["input"] or "", "output": c["output"] or ""} for c in r.cases]
+            job = json.dumps({"code": r.code or "", "entry": (r.entry or "").strip(), "timeout": timeout, "cases": cases})
+            try:
+                done = subprocess.run([sys.executable, "-I", "-c", source], input=job, capture_output=True, text=True, timeout=timeout + 5, preexec_fn=bounded)
+                return json.loads(done.stdout.rsplit("\n", 1)[-1])
+            except subprocess.TimeoutExpired:
+                return {"passed": False, "code": HUNG, "message": "The process hung", "n_run": None}
+            except ValueError:
+                return {"passed": False, "code": FAILED, "message": "The process gave no verdict", "n_run": None}
+
+        for frame in frames:
+            said = [one(r) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame({
+                "row_id": frame["row_id"], "passed": [x["passed"] for x in said], "error_code": pd.array([x["code"] for x in said], "Int32"),
+                "error_message": [x["message"] for x in said], "n_run": pd.array([x["n_run"] for x in said], "Int32"),
+            })
+
+    return rows.select("row_id", "code", "entry", "cases").mapInPandas(run, "row_id long, passed boolean, error_code int, error_message string, n_run int")
+
+
+def structure_match(pairs: DataFrame, reference: str, candidate: str) -> DataFrame:
+    """Adds syntax_match and flow_match of two Python programs.
+
+    syntax_match is the share of the reference's subtrees, by kinds of nodes
+    alone, that the candidate has as often; flow_match the same for steps of data
+    flow, names being numbered as they appear, and 1 where the reference has
+    none.  Both are null where either text isn't Python or is null.
+    """
+    @F.pandas_udf("syntax double, flow double")
+    def matched(r: pd.Series, c: pd.Series) -> pd.DataFrame:
+        from trustloom.operators.program_shape import matches
+
+        held = {}
+        return pd.DataFrame([matches(a, b, held) for a, b in zip(r, c)], columns=["syntax", "flow"], dtype="float64")
+
+    return pairs.withColumn("m", matched(F.col(reference), F.col(candidate))).withColumns({"syntax_match": F.col("m.syntax"), "flow_match": F.col("m.flow")}).drop("m")
+
+
+def codebleu_of_python(pairs: DataFrame) -> DataFrame:
+    """(prompt_id, codebleu): mean over pairs (prompt_id, original, sample) of the four parts, each a quarter.
+
+    A pair with an empty or null program has no score, and a prompt without any
+    score has null.  Where a text isn't Python, its pair is scored on n-grams.
+    """
+    rows = ngram_bleu(ngram_bleu(pairs, "original", "sample").withColumnRenamed("bleu", "b1"), "original", "sample", weighted=True)
+    rows = structure_match(rows, "original", "sample")
+    grams = (F.col("b1") + F.col("bleu")) / 2.0
+    whole = F.coalesce((grams * 2.0 + F.col("syntax_match") + F.col("flow_match")) / 4.0, grams)
+    present = (F.length("original") > 0) & (F.length("sample") > 0)
+    return rows.groupBy("prompt_id").agg(F.avg(F.when(present, whole)).alias("codebleu"))
