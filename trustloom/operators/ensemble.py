@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DEFAULT_WEIGHTS = {"noncontradiction": 0.56, "exact_match": 0.14, "self_judge": 0.30}
 #: Objectives by name, and whether a larger value is better.
 OBJECTIVES = {"fbeta_score": True, "accuracy_score": True, "balanced_accuracy_score": True, "log_loss": False, "roc_auc": True, "average_precision": True, "brier_score": False}
+#: Objectives that need a threshold.
+WITH_THRESHOLD = ("fbeta_score", "accuracy_score", "balanced_accuracy_score")
 WHITE_BOX = ("sequence_probability", "min_probability", "mean_token_negentropy", "min_token_negentropy", "probability_margin", "monte_carlo_probability", "consistency_and_confidence", "semantic_negentropy", "semantic_density", "p_true")
 BLACK_BOX = ("semantic_negentropy", "noncontradiction", "exact_match", "cosine_sim", "bert_score", "entailment", "semantic_sets_confidence")
 
@@ -104,7 +106,7 @@ def with_threshold_metrics(found: DataFrame, beta: float = 1.0) -> DataFrame:
 
 def best_threshold(counts: DataFrame, thresholds: DataFrame, objective: str = "fbeta_score", beta: float = 1.0) -> DataFrame:
     """(threshold, value): the first of the best."""
-    if objective not in ("fbeta_score", "accuracy_score", "balanced_accuracy_score"):
+    if objective not in WITH_THRESHOLD:
         raise ValueError(f"{objective} has no threshold")
     rows = with_threshold_metrics(confusion(counts, thresholds), beta)
     best = rows.agg(F.max(F.struct(F.col(objective).alias("value"), (-F.col("threshold")).alias("t"))).alias("b"))
@@ -116,7 +118,15 @@ def combined(wide: DataFrame, columns: list[str], weights: DataFrame, names: lis
 
     wide: component columns and correct.  Equal component vectors are counted first.
     """
-    vectors = wide.groupBy(*columns).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("pos"))
+    return scored_vectors(vector_counts(wide, columns), columns, weights, names)
+
+
+def vector_counts(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns..., n, pos): rows and correct ones of each distinct component vector."""
+    return wide.groupBy(*columns).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("pos"))
+
+
+def scored_vectors(vectors: DataFrame, columns: list[str], weights: DataFrame, names: list[str]) -> DataFrame:
     rows = vectors.join(F.broadcast(weights))
     used = [F.when(F.col(c).isNotNull(), F.col(w)).otherwise(0.0) for c, w in zip(columns, names)]
     value = [F.coalesce(F.col(c), F.lit(0.0)) * F.col(w) for c, w in zip(columns, names)]
@@ -129,7 +139,10 @@ def combined(wide: DataFrame, columns: list[str], weights: DataFrame, names: lis
 
 def tuned_weights_and_threshold(wide: DataFrame, columns: list[str], weights: DataFrame, names: list[str], thresholds: DataFrame, objective: str = "fbeta_score", beta: float = 1.0) -> DataFrame:
     """(names..., threshold, value): the first best cell in the order of weights, then thresholds."""
-    counts = combined(wide, columns, weights, names)
+    return _best_cell(combined(wide, columns, weights, names), names, thresholds, objective, beta)
+
+
+def _best_cell(counts: DataFrame, names: list[str], thresholds: DataFrame, objective: str, beta: float) -> DataFrame:
     rows = with_threshold_metrics(confusion(counts, thresholds, [*names, "threshold"]), beta)
     order = [(-F.col(c)).alias(f"o{k}") for k, c in enumerate([*names, "threshold"])]
     best = rows.agg(F.max(F.struct(F.round(objective, 12).alias("value"), *order)).alias("b"))
@@ -209,12 +222,60 @@ def halton(n: int, base: int) -> list[float]:
 
 
 def candidate_weights(n_components: int, trials: int = 100) -> list[tuple[float, ...]]:
-    """A fixed list of weight vectors that sum to one: stands in for a sequential optimiser, the same each time."""
+    """A fixed list of weight vectors that sum to one, spread out evenly: where a search begins."""
     primes = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
     columns = [halton(trials, primes[k % len(primes)]) for k in range(n_components)]
     return [tuple(x / sum(row) for x in row) for row in zip(*columns)]
 
 
+def neighbours(weights: tuple[float, ...], step: float) -> list[tuple[float, ...]]:
+    """The weights, and what they become if ``step`` of the total (or all there is) goes from one component to another."""
+    out = [weights]
+    for a in range(len(weights)):
+        given = min(step, weights[a])
+        out += [tuple(w - given if k == a else w + given if k == b else w for k, w in enumerate(weights)) for b in range(len(weights)) if b != a and given > 0]
+    return out
+
+
+def searched_weights(wide: DataFrame, columns: list[str], objective: str, thresholds: DataFrame | None = None, beta: float = 1.0, trials: int = 100, rounds: int = 8, step: float = 0.2) -> tuple[list[float], float | None, float | None]:
+    """(weights, threshold or None, value) of a sequential search: each list of trials depends on what the last one found.
+
+    The first half of the trials is spread out evenly; after that the best is
+    moved by ``step``, which is halved whenever no move is better.  Equal
+    component vectors are counted once, before the first round, and one row of
+    each round reaches the driver.  Same data, same result.
+    """
+    from pyspark import StorageLevel
+
+    names = [f"w{k}" for k in range(len(columns))]
+    vectors = vector_counts(wide, columns).persist(StorageLevel.DISK_ONLY)
+    sign = 1.0 if OBJECTIVES[objective] else -1.0
+
+    def best_of(rows: list[tuple[float, ...]]):
+        counts = scored_vectors(vectors, columns, wide.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), names)
+        if thresholds is not None:
+            return _best_cell(counts, names, thresholds, objective, beta).first()
+        measure = {"roc_auc": auc, "average_precision": average_precision, "log_loss": log_loss, "brier_score": brier}[objective](counts, names)
+        order = F.desc_nulls_last("value") if sign > 0 else F.asc_nulls_last("value")
+        return measure.withColumnRenamed(objective, "value").orderBy(order, *names).first()
+
+    try:
+        best = best_of(candidate_weights(len(columns), max(1, trials // 2)))
+        for _ in range(rounds):
+            if best is None or best["value"] is None:
+                break
+            found = best_of(neighbours(tuple(best[n] for n in names), step))
+            if sign * (found["value"] - best["value"]) > 1e-9:
+                best = found
+            else:
+                step /= 2.0
+    finally:
+        vectors.unpersist()
+    if best is None:
+        return normalized_weights(None, len(columns)), None, None
+    return [float(best[n]) for n in names], float(best["threshold"]) if thresholds is not None else None, best["value"]
+
+
 def ranked_metrics(long_graded: DataFrame) -> DataFrame:
     """(metric, scorer, category, value) of all scorers, ascending: AUROC of being right, AUPRC of being wrong."""
     counts = long_graded.where("score IS NOT NULL").groupBy("scorer", "score").agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("pos"))

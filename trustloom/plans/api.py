@@ -189,42 +189,60 @@ class ScoreEnsemble:
         scores = E.ensemble_scores(E.long_scores(wide, self.components), self._weights(wide.sparkSession))
         return Result(wide.join(scores, "prompt_id"), {"weights": self.weights, "threshold": self.threshold})
 
-    def tune(self, graded: DataFrame, objective: str = "fbeta_score", beta: float = 1.0, weight_steps: int = 100, trials: int = 100) -> ScoreEnsemble:
-        """graded: component columns and correct.  Two or three components search a full grid, more a fixed list of trials."""
-        if objective not in E.OBJECTIVES:
-            raise ValueError(f"objective must be one of {', '.join(E.OBJECTIVES)}")
+    def tune(self, graded: DataFrame, objective: str = "fbeta_score", beta: float = 1.0, weight_steps: int = 100, trials: int = 100, thresh_objective: str = "fbeta_score") -> ScoreEnsemble:
+        """graded: component columns and correct.  Two or three components search a full grid, more search step by step.
+
+        An objective with a threshold finds it together with the weights; for any
+        other, the threshold is tuned to ``thresh_objective`` afterwards.
+        """
+        for o in (objective, thresh_objective):
+            if o not in E.OBJECTIVES:
+                raise ValueError(f"objective must be one of {', '.join(E.OBJECTIVES)}")
+        if thresh_objective not in E.WITH_THRESHOLD:
+            raise ValueError(f"thresh_objective must be one of {', '.join(E.WITH_THRESHOLD)}")
         if len(self.components) < 2:
             raise ValueError("tuning needs two components")
         spark, k = graded.sparkSession, len(self.components)
-        names = [f"w{n}" for n in range(k)]
-        if k == 2:
-            rows = [(x / (weight_steps - 1), 1 - x / (weight_steps - 1)) for x in range(weight_steps)]
-        elif k == 3:
-            n = min(weight_steps, 31) - 1
-            rows = [(a / n, b / n, (n - a - b) / n) for a in range(n + 1) for b in range(n + 1 - a)]
+        names, thresholds = [f"w{n}" for n in range(k)], E.grid(graded.sparkSession, 0.01, 0.01, 99, "threshold")
+        if k > 3:
+            self.weights, found, _ = E.searched_weights(graded, self.components, objective, thresholds if objective in E.WITH_THRESHOLD else None, beta, trials)
+            self.threshold = self.threshold if found is None else found
         else:
-            rows = E.candidate_weights(k, trials)
-        weights = spark.createDataFrame(rows, ", ".join(f"{x} double" for x in names))
-        counts = E.combined(graded, self.components, weights, names)
-        if objective in ("fbeta_score", "accuracy_score", "balanced_accuracy_score"):
-            best = E.tuned_weights_and_threshold(graded, self.components, weights, names, E.grid(spark, 0.01, 0.01, 99, "threshold"), objective, beta).first()
-            self.threshold = best.threshold
-        else:
-            measure = {"roc_auc": E.auc, "average_precision": E.average_precision, "log_loss": E.log_loss, "brier_score": E.brier}[objective](counts, names)
-            order = F.col(objective).desc_nulls_last() if E.OBJECTIVES[objective] else F.col(objective).asc_nulls_last()
-            best = measure.orderBy(order, *names).first()
-        self.weights = [float(best[x]) for x in names]
+            if k == 2:
+                rows = [(x / (weight_steps - 1), 1 - x / (weight_steps - 1)) for x in range(weight_steps)]
+            else:
+                n = min(weight_steps, 31) - 1
+                rows = [(a / n, b / n, (n - a - b) / n) for a in range(n + 1) for b in range(n + 1 - a)]
+            weights = spark.createDataFrame(rows, ", ".join(f"{x} double" for x in names))
+            if objective in E.WITH_THRESHOLD:
+                best = E.tuned_weights_and_threshold(graded, self.components, weights, names, thresholds, objective, beta).first()
+                self.threshold = best.threshold
+            else:
+                measure = {"roc_auc": E.auc, "average_precision": E.average_precision, "log_loss": E.log_loss, "brier_score": E.brier}[objective](E.combined(graded, self.components, weights, names), names)
+                order = F.col(objective).desc_nulls_last() if E.OBJECTIVES[objective] else F.col(objective).asc_nulls_last()
+                best = measure.orderBy(order, *names).first()
+            self.weights = [float(best[x]) for x in names]
+        if objective not in E.WITH_THRESHOLD:
+            one = spark.createDataFrame([tuple(self.weights)], ", ".join(f"{x} double" for x in names))
+            row = E.best_threshold(E.combined(graded, self.components, one, names), thresholds, thresh_objective, beta).first()
+            self.threshold = self.threshold if row is None or row.threshold is None else row.threshold
         return self
 
+    def settings(self) -> dict:
+        return {"components": self.components, "weights": self.weights, "thresh": self.threshold}
+
+    @classmethod
+    def of_settings(cls, held: dict) -> ScoreEnsemble:
+        return cls(held["components"], held["weights"], held["thresh"])
+
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
-            json.dump({"components": self.components, "weights": self.weights, "thresh": self.threshold}, f)
+            json.dump(self.settings(), f)
 
     @classmethod
     def load(cls, path: str) -> ScoreEnsemble:
         with open(path, encoding="utf-8") as f:
-            held = json.load(f)
-        return cls(held["components"], held["weights"], held["thresh"])
+            return cls.of_settings(json.load(f))
 
     def report(self, spark: SparkSession) -> DataFrame:
         return E.weight_report(self._weights(spark))
@@ -300,8 +318,8 @@ class LongTextGraph:
 class CodeScorer:
     """Scores of generated programs."""
 
-    def __init__(self, scorers: list[str], equivalence_provider=None):
-        self.routes, self.scorers, self.provider = Code.routed(scorers), scorers, equivalence_provider
+    def __init__(self, scorers: list[str], equivalence_provider=None, language: str = "python"):
+        self.routes, self.scorers, self.provider, self.language = Code.routed(scorers), scorers, equivalence_provider, language
 
     def score(self, responses: DataFrame, tokens: DataFrame | None = None, embeddings: DataFrame | None = None, confidence: DataFrame | None = None) -> Result:
         """confidence: (prompt_id, verbalized_confidence), of a judge."""
@@ -310,7 +328,7 @@ class CodeScorer:
             found = C.functional_scores(responses, Code.equivalence_scores(responses, self.provider))
             parts.append(found.select("prompt_id", *self.routes["functional"]))
         if self.routes["local"]:
-            parts.append(Code.codebleu(P.original_with_samples(responses)))
+            parts.append((Code.codebleu_of_python if self.language == "python" else Code.codebleu)(P.original_with_samples(responses)))
         other = self.routes["other"]
         similarity = K.cosine_sim(embeddings) if embeddings is not None and "cosine_sim" in other else None
         if similarity is not None:

@@ -74,9 +74,36 @@ def tuned_weights(spark, d):
 
 @query("searched_weights", "E8")
 def searched_weights(spark, d):
-    names = ["w1", "w2", "w3", "w4"]
-    weights = spark.createDataFrame(E.candidate_weights(4), ", ".join(f"{n} double" for n in names))
-    return E.tuned_weights_and_threshold(B.graded(spark, d), COLUMNS, weights, names, E.grid(spark, 0.01, 0.01, 99, "threshold"), "balanced_accuracy_score")
+    objective = "balanced_accuracy_score"
+    weights, threshold, value = E.searched_weights(B.graded(spark, d), COLUMNS, objective, E.grid(spark, 0.01, 0.01, 99, "threshold"))
+    return spark.createDataFrame([(*weights, threshold, value)], "w1 double, w2 double, w3 double, w4 double, threshold double, value double")
+
+
+@query("ensemble_settings", "S18", "SELECT * FROM (VALUES ('exact_match', 0.75::DOUBLE, 0.4::DOUBLE), ('noncontradiction', 0.25::DOUBLE, 0.4::DOUBLE)) t(component, weight, threshold)")
+def ensemble_settings(spark, d):
+    import json
+
+    from trustloom.plans.api import ScoreEnsemble
+
+    held = json.dumps(ScoreEnsemble(["exact_match", "noncontradiction"], [3.0, 1.0], 0.4).settings())
+    again = ScoreEnsemble.of_settings(json.loads(held))
+    return spark.createDataFrame([(c, w, again.threshold) for c, w in zip(again.components, again.weights)], "component string, weight double, threshold double")
+
+
+ASKED = ["sequence_probability", "semantic_density", "normalized_probability", "no_such_score"]
+
+
+@query("scorer_names", "W13 F1", "SELECT * FROM (VALUES ('sequence_probability', true, true), ('semantic_density', true, false), ('normalized_probability', false, false), ('no_such_score', false, false)) t(name, white_box, code)")
+def scorer_names(spark, d):
+    from trustloom.plans.api import CodeScorer, TokenScorer
+
+    def taken(kind, name):
+        try:
+            return bool(kind([name]))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(n, taken(TokenScorer, n), taken(CodeScorer, n)) for n in ASKED], "name string, white_box boolean, code boolean")
 
 
 @query("ranked_metrics", "E13 E14 E16 J8 S20", f"""WITH {COUNTS}, k AS (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY scorer ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
@@ -133,6 +160,29 @@ def code_overlap(spark, d):
     return rounded(Code.codebleu(rows), "codebleu")
 
 
+@query("code_similarity", "F1 F3")
+def code_similarity(spark, d):
+    size = F.col("p_size").cast("string")
+    one = F.concat(F.lit("def f(x):\n    y = x + "), size, F.lit("\n    return y"))
+    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("def g(a):\n    b = a + "), size, F.lit("\n    return b"))).otherwise(F.concat(F.lit("def g(a):\n    return a + "), size))
+    rows = B.table(spark, d, "part").select(F.col("p_partkey").alias("prompt_id"), one.alias("original"), other.alias("sample"))
+    return rounded(Code.codebleu_of_python(rows), "codebleu")
+
+
+GRADED = [
+    (1, "class Solution:\n    def twice(self, x):\n        return x * 2", "twice", [("3", "6"), ('"a"', '"aa"')]),
+    (2, "def last(x):\n    return x[0]", "last", [("[1, 1]", "1"), ("[1, 2]", "2"), ("[3, 3]", "3")]),
+    (3, "print(float(input()) / 2)", None, [("3", "1.50")]),
+    (4, "raise ValueError", None, [("", "")]),
+]
+
+
+@query("program_verdicts", "F4 F5", "SELECT * FROM (VALUES (1::BIGINT, true, NULL::DOUBLE, 2), (2, false, -2, 2), (3, true, NULL, 1), (4, false, -4, 1)) t(row_id, passed, error_code, n_run)")
+def program_verdicts(spark, d):
+    rows = spark.createDataFrame(GRADED, "row_id long, code string, entry string, cases array<struct<input:string,output:string>>")
+    return Code.grade_programs(rows).drop("error_message").withColumn("error_code", F.col("error_code").cast("double"))
+
+
 @query("program_cases", "F4")
 def program_cases(spark, d):
     rows = [(1, "print(int(input()) * 2)", [("3", "6"), ("5", "10")]), (2, "print(1)", [("", "2")]), (3, "raise SystemExit(3)", [("", "")])]

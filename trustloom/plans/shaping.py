@@ -9,6 +9,7 @@ from trustloom.functions import verdicts as V
 from trustloom.operators import judging as J
 from trustloom.plans.registry import query
 from trustloom.plans.sql import R1
+from trustloom.sources import asking as A
 from trustloom.sources import bindings as B
 from trustloom.sources import datasets as D
 
@@ -65,6 +66,47 @@ def generate_responses(spark, d):
     return D.generate(prompts, echo, count=3)
 
 
+class Echo:
+    """A client that answers with the prompt's last word, after a first failure, and refuses some prompts for good."""
+
+    temperature = 1.0
+
+    def __init__(self):
+        self.tried = set()
+
+    async def ask(self, messages: list[dict], top_logprobs: int | None = None) -> dict:
+        text = messages[-1]["content"]
+        if text not in self.tried:
+            self.tried.add(text)
+            raise ConnectionError("busy")
+        if text.startswith("a"):
+            raise PermissionError("refused")
+        if top_logprobs:
+            raise TypeError("no top_logprobs here")
+        return {"content": text.split(" ")[-1], "metadata": {"logprobs": {"tokens": ["x"], "token_logprobs": [-0.5]}}}
+
+
+@query("asked_responses", "S8 S10 S12 S16", """SELECT p_partkey AS prompt_id, unnest(range(2))::INT AS sample_idx, CASE WHEN p_name LIKE 'a%' THEN NULL ELSE string_split(p_name, ' ')[-1] END AS text,
+ CASE WHEN p_name LIKE 'a%' THEN NULL ELSE -0.5::DOUBLE END AS logprob, CASE WHEN p_name LIKE 'a%' THEN 'PermissionError: refused' END AS error FROM part""")
+def asked_responses(spark, d):
+    prompts = B.table(spark, d, "part").selectExpr("p_partkey AS prompt_id", "p_name AS prompt")
+    rows = A.ask(prompts, Echo, count=2, top_logprobs=5, retries=2, pause=0.0, errors="keep")
+    return rows.select("prompt_id", "sample_idx", "text", F.get(D.normalized_logprobs(F.col("metadata"))["logprob"], F.lit(0)).alias("logprob"), "error")
+
+
+@query("provider_settings", "S19", "SELECT * FROM (VALUES ('temperature', '0.3'), ('max_tokens', '64')) t(name, value)")
+def provider_settings(spark, d):
+    from trustloom.sources import providers
+
+    class Client:
+        def __init__(self, temperature, max_tokens):
+            self.temperature, self.max_tokens, self.api_key, self.base_url = temperature, max_tokens, "k", "http://localhost"
+
+    again = providers.restored(providers.saved_settings(Client(0.3, 64)))
+    held = providers.saved_settings(again)
+    return spark.createDataFrame([(k, str(v)) for k, v in held.items() if k not in ("class_name", "module")], "name string, value string")
+
+
 @query("prompt_batches", "S9 S10", "SELECT batch, count(*)::BIGINT AS calls FROM (SELECT p_partkey // 12 AS batch, unnest(range(5)) AS copy FROM part) GROUP BY 1")
 def prompt_batches(spark, d):
     prompts = D.batched(B.table(spark, d, "part").select(F.col("p_partkey").alias("k")), "k", D.batch_size(60, 5))
