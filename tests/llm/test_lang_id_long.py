@@ -1,0 +1,39 @@
+"""Long texts: pieces with margins against one recurrence over the whole text."""
+
+import random
+
+import numpy as np
+
+from tests.llm.test_lang_id import SYLLABLES, text
+from trustloom.llm import lang_id
+
+
+def test_pieces_follow_the_whole_recurrence():
+    rnd = random.Random(4)
+    sample = [(text(rnd, lang, 30)[:80], lang) for lang in sorted(SYLLABLES) for _ in range(60)]
+    net = lang_id.fit(sample, sorted(SYLLABLES), steps=80)
+    raws = [text(rnd, rnd.choice("abc") * 2, n).encode() for n in (0, 1, 60, 400, 1500)] + [b"", b"x" * lang_id.CORE, b"y" * (lang_id.CORE + 1)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+    pooled = net.pooled(offsets, np.frombuffer(b"".join(raws), np.uint8))
+    for k, raw in enumerate(raws):
+        labels = net.labels(raw)
+        assert labels.shape == (len(raw), 3)
+        if not raw:
+            assert not pooled[k].any()
+            continue
+        whole = net._chances(net._run(np.frombuffer(raw, np.uint8)[:, None], None))[:, 0]
+        if len(raw) <= lang_id.CORE:
+            assert np.allclose(labels, whole, atol=1e-5)
+        assert np.abs(labels - whole).mean() < 0.01 and np.allclose(pooled[k], labels.mean(axis=0), atol=1e-4)
+
+
+def test_every_byte_is_labelled_once():
+    sizes = [0, 1, lang_id.CORE, lang_id.CORE + 1, 3 * lang_id.CORE + 40, 5]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    begin, length, lead, core, at = lang_id._windows(offsets)
+    seen = np.zeros(offsets[-1], int)
+    for b, n, m, c, row in zip(begin, length, lead, core, at):
+        seen[b + m : b + m + c] += 1
+        assert offsets[row] <= b and b + n <= offsets[row + 1] and (m == lang_id.MARGIN or b == offsets[row])
+        assert n - m - c == min(lang_id.MARGIN, offsets[row + 1] - (b + m + c))
+    assert (seen == 1).all()

@@ -1,8 +1,11 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained here in numpy.
 
 Every byte of a text gets a distribution over languages from the states of two
-recurrences, one from each end of its window of 96 bytes; a document's
-distribution is the mean over all its bytes.  Training is by backpropagation
+recurrences, one from each side; a document's distribution is the mean over all
+its bytes.  Texts of up to ``CORE`` bytes are one recurrence.  Longer ones are
+labelled by pieces of ``CORE`` bytes, so that a very long text isn't one sequential
+task, and both recurrences begin ``MARGIN`` bytes outside a piece: at its first
+byte they have forgotten that they didn't begin at the text's end.  Training is by backpropagation
 through time with Adam, on slices of a bounded sample of labelled documents:
 ``SAMPLE`` documents of each language in expectation, chosen by a hash of the
 id, ``SLICES`` slices each.  Prediction covers whole texts.
@@ -25,13 +28,16 @@ from pyspark.sql import functions as F
 from trustloom.llm._bytes import pieces, utf8
 from trustloom.llm._worker import kept
 
-WINDOW = 96
+#: Bytes that are labelled in one run, and bytes read before and after them.
+CORE, MARGIN = 512, 48
+#: Most bytes of a slice that is trained on.
+TRAINED = 96
 HIDDEN = 8
 EMBEDDING = 8
 SAMPLE, SLICES, SLICE_CHARS = 250, 4, 80
 MOST_LANGUAGES = 256
 STEPS, BATCH, RATE = 260, 96, 0.015
-BLOCK = 4096
+BLOCK = 512
 UNKNOWN = "und"
 
 
@@ -81,23 +87,32 @@ class ByteGru:
         logits /= logits.sum(axis=-1, keepdims=True)
         return logits
 
+    def _labelled(self, offsets: np.ndarray, data: np.ndarray):
+        """(rows, distributions (T, n, K), which bytes of the runs are labelled (T, n)) by blocks of runs of about the same length."""
+        begin, length, lead, core, at = _windows(offsets)
+        order = np.argsort(length, kind="stable")
+        for k in range(0, len(order), BLOCK):
+            w = order[k : k + BLOCK]
+            t = np.arange(length[w[-1]])[:, None]
+            inside = t < length[w]
+            states = self._run(data[np.minimum(begin[w] + t, len(data) - 1)], None if inside.all() else inside)
+            yield at[w], self._chances(states), (t >= lead[w]) & (t < (lead + core)[w])
+
     def labels(self, raw: bytes) -> np.ndarray:
         """The distribution over languages at each byte of a text."""
-        x, inside, at = _windows(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
-        return np.concatenate([np.swapaxes(self._chances(self._run(x.T, inside.T)), 0, 1)[inside]]) if len(at) else np.zeros((0, len(self.languages)), np.float32)
+        out, begin = [], 0
+        while begin < len(raw):  # the pieces one after another
+            lead = min(begin, MARGIN)
+            part = np.frombuffer(raw, np.uint8)[begin - lead : begin + CORE + MARGIN]
+            out.append(self._chances(self._run(part[:, None], None))[lead : lead + CORE, 0])
+            begin += CORE
+        return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
     def pooled(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The mean distribution over the bytes of each row of a piece."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        x, inside, at = _windows(offsets, data)
-        full = inside[:, -1]
-        for which, whole in ((np.flatnonzero(full), True), (np.flatnonzero(~full), False)):
-            for k in range(0, len(which), BLOCK):
-                rows = which[k : k + BLOCK]
-                held = None if whole else inside[rows].T
-                chances = self._chances(self._run(x[rows].T, held))
-                sums = chances.sum(axis=0) if whole else (chances * held[..., None]).sum(axis=0)
-                np.add.at(out, at[rows], sums)
+        for at, chances, counted in self._labelled(offsets, data):
+            np.add.at(out, at, (chances * counted[..., None]).sum(axis=0))
         return out / np.maximum(np.diff(offsets), 1)[:, None]
 
     def gradients(self, x: np.ndarray, inside: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -139,24 +154,24 @@ class ByteGru:
         return loss, g
 
 
-def _windows(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (windows, WINDOW), which of them belong to the text, and the row of each window."""
+def _windows(offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Begin, length, bytes before the labelled ones, labelled bytes, and row of each run over a piece's rows."""
     sizes = np.diff(offsets)
-    counts = -(-sizes // WINDOW)
+    counts = -(-sizes // CORE)
     at = np.repeat(np.arange(len(sizes)), counts)
-    begin = offsets[at] + WINDOW * (np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts))
-    place = begin[:, None] + np.arange(WINDOW)
-    inside = place < offsets[at + 1][:, None] if len(at) else np.zeros((0, WINDOW), bool)
-    x = data[np.minimum(place, max(len(data) - 1, 0))] if len(at) else np.zeros((0, WINDOW), np.uint8)
-    return x, inside, at
+    first = CORE * (np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts))
+    lead = np.minimum(first, MARGIN)
+    core = np.minimum(sizes[at] - first, CORE)
+    length = np.minimum(sizes[at] - first + lead, lead + CORE + MARGIN)
+    return offsets[at] + first - lead, length, lead, core, at
 
 
 def fit(slices: list[tuple[str, str]], languages: list[str], steps: int = STEPS, seed: int = 7) -> ByteGru:
     """Trains on (text, language) slices; each language has the same weight."""
     model = ByteGru(languages, seed=seed)
-    raw = [t.encode()[:WINDOW] for t, _ in slices]
-    x = np.zeros((len(raw), WINDOW), np.uint8)
-    inside = np.zeros((len(raw), WINDOW), bool)
+    raw = [t.encode()[:TRAINED] for t, _ in slices]
+    x = np.zeros((len(raw), TRAINED), np.uint8)
+    inside = np.zeros((len(raw), TRAINED), bool)
     for k, b in enumerate(raw):
         x[k, : len(b)] = np.frombuffer(b, np.uint8)
         inside[k, : len(b)] = True
