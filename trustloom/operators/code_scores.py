@@ -51,28 +51,16 @@ def code_tokens(code: Column) -> Column:
     return F.regexp_extract_all(code, F.lit(r"[A-Za-z_]\w*|\d+(?:\.\d+)?|[^\w\s]"), F.lit(0))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(size >= n, made).otherwise(F.array().cast("array<string>"))
+def _bleus(pairs: DataFrame, reference: str, candidate: str, n: int) -> DataFrame:
+    """Adds bleus, a struct of the plain and the weighted overlap.  No token holds a blank, so texts of tokens go to Python."""
+    @F.pandas_udf("plain double, weighted double")
+    def scored(r: pd.Series, c: pd.Series) -> pd.DataFrame:
+        from trustloom.operators.program_grams import overlaps
 
+        held = {}
+        return pd.DataFrame([overlaps(a, b, n, KEYWORDS, held) for a, b in zip(r, c)], columns=["plain", "weighted"], dtype="float64")
 
-def _clipped(a: Column, b: Column, unit) -> tuple[Column, Column]:
-    """Weight of b's n-grams that a has as often, and of all of b's; grams are counted in sorted order, in one pass."""
-    def state(g: Column, x: Column, y: Column, total: Column) -> Column:
-        return F.struct(g.alias("g"), x.alias("x"), y.alias("y"), total.alias("sum"))
-
-    def closed(s: Column) -> Column:
-        return s["sum"] + unit(s["g"]) * F.least(s["x"], s["y"])
-
-    def step(s: Column, r: Column) -> Column:
-        return F.when(s["g"] == r["g"], state(s["g"], s["x"] + r["x"], s["y"] + r["y"], s["sum"])).otherwise(state(r["g"], r["x"], r["y"], closed(s)))
-
-    one, none = F.lit(1.0), F.lit(0.0)
-    marked = lambda grams, x, y: F.transform(grams, lambda g: F.struct(g.alias("g"), x.alias("x"), y.alias("y")))
-    both = F.array_sort(F.concat(marked(a, one, none), marked(b, none, one)))
-    hits = F.aggregate(both, state(F.lit(""), none, none, none), step, closed)
-    return hits, F.aggregate(b, F.lit(0.0), lambda s, g: s + unit(g))
+    return pairs.withColumn("bleus", scored(*[F.array_join(code_tokens(F.col(x)), " ") for x in (reference, candidate)]))
 
 
 def ngram_bleu(pairs: DataFrame, reference: str, candidate: str, n: int = 4, weighted: bool = False) -> DataFrame:
@@ -80,14 +68,18 @@ def ngram_bleu(pairs: DataFrame, reference: str, candidate: str, n: int = 4, wei
 
     weighted: unigrams that are keywords count five times.
     """
-    r, c = code_tokens(F.col(reference)), code_tokens(F.col(candidate))
-    total = F.lit(0.0)
-    weigh = (lambda g: F.when(g.isin(*KEYWORDS), 5.0).otherwise(1.0)) if weighted else (lambda g: F.lit(1.0))
-    for k in range(1, n + 1):
-        hits, made = _clipped(_grams(r, k), _grams(c, k), weigh if k == 1 else (lambda g: F.lit(1.0)))
-        total = total + F.ln((hits + 1.0) / (made + 1.0)) / float(n)
-    short = F.when(F.size(c) >= F.size(r), 1.0).otherwise(F.exp(1.0 - F.try_divide(F.size(r).cast("double"), F.size(c).cast("double"))))
-    return pairs.withColumn("bleu", F.when(F.size(c) > 0, F.exp(total) * short).otherwise(0.0))
+    return _bleus(pairs, reference, candidate, n).withColumn("bleu", F.col("bleus.weighted" if weighted else "bleus.plain")).drop("bleus")
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair of a prompt once, with its number; dealt by the texts too, so all tasks score, and share a large prompt."""
+    return pairs.groupBy("prompt_id", "original", "sample").agg(F.count("*").alias("n"))
+
+
+def _mean_by_prompt(rows: DataFrame, score: Column) -> DataFrame:
+    """(prompt_id, codebleu): mean over pairs that have a score."""
+    n = F.when(score.isNotNull(), F.col("n"))
+    return rows.groupBy("prompt_id").agg(F.try_divide(F.sum(score * F.col("n")), F.sum(n)).alias("codebleu"))
 
 
 def codebleu(pairs: DataFrame) -> DataFrame:
@@ -96,8 +88,8 @@ def codebleu(pairs: DataFrame) -> DataFrame:
     These two parts need no parser, so any language will do; codebleu_of_python
     has the syntax-tree and data-flow parts too.
     """
-    rows = ngram_bleu(ngram_bleu(pairs, "original", "sample").withColumnRenamed("bleu", "b1"), "original", "sample", weighted=True)
-    return rows.groupBy("prompt_id").agg(F.avg((F.col("b1") + F.col("bleu")) / 2.0).alias("codebleu"))
+    rows = _bleus(_distinct_pairs(pairs), "original", "sample", 4)
+    return _mean_by_prompt(rows.withColumn("grams", (F.col("bleus.plain") + F.col("bleus.weighted")) / 2.0), F.col("grams"))
 
 
 def output_matches(actual: Column, expected: Column) -> Column:
