@@ -6,7 +6,7 @@ from tests.core.test_code_overlap import bleu
 from trustloom.operators import code_scores as code
 
 PAIR = "prompt_id long, original string, sample string"
-MEANS = (code.codebleu,)
+MEANS = (code.codebleu, code.codebleu_of_python)
 
 
 @pytest.mark.parametrize("mean", MEANS)

@@ -207,9 +207,8 @@ def codebleu_of_python(pairs: DataFrame) -> DataFrame:
     A pair with an empty or null program has no score, and a prompt without any
     score has null.  Where a text isn't Python, its pair is scored on n-grams.
     """
-    rows = ngram_bleu(ngram_bleu(pairs, "original", "sample").withColumnRenamed("bleu", "b1"), "original", "sample", weighted=True)
-    rows = structure_match(rows, "original", "sample")
-    grams = (F.col("b1") + F.col("bleu")) / 2.0
+    rows = structure_match(_bleus(_distinct_pairs(pairs), "original", "sample", 4), "original", "sample")
+    grams = (F.col("bleus.plain") + F.col("bleus.weighted")) / 2.0
     whole = F.coalesce((grams * 2.0 + F.col("syntax_match") + F.col("flow_match")) / 4.0, grams)
     present = (F.length("original") > 0) & (F.length("sample") > 0)
-    return rows.groupBy("prompt_id").agg(F.avg(F.when(present, whole)).alias("codebleu"))
+    return _mean_by_prompt(rows.withColumn("whole", F.when(present, whole)), F.col("whole"))
