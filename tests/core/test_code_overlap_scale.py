@@ -4,6 +4,7 @@ import pytest
 
 from tests.core.test_code_overlap import bleu
 from trustloom.operators import code_scores as code
+from trustloom.operators import program_grams, program_shape
 
 PAIR = "prompt_id long, original string, sample string"
 MEANS = (code.codebleu, code.codebleu_of_python)
@@ -31,3 +32,11 @@ def test_long_programs(spark):
     other = "".join(f"x{k % 11} = y{k % 7} + {k % 3}\n" for k in range(3000))
     got = code.codebleu(spark.createDataFrame([(1, one, other)], PAIR)).first().codebleu
     assert got == pytest.approx((bleu(one.split(), other.split(), False) + bleu(one.split(), other.split(), True)) / 2)
+
+
+def test_few_programs_are_held():
+    grams, shapes = {}, {}
+    for k in range(3 * program_grams.KEPT):
+        assert program_grams.overlaps(f"x{k} = {k}", f"x{k} = {k}", 4, code.KEYWORDS, grams) == (1.0, 1.0)
+        assert program_shape.matches(f"x{k} = {k}", f"y{k} = {k}", shapes) == (1.0, 1.0)
+    assert max(len(grams), len(shapes)) <= program_grams.KEPT + 3
