@@ -1,7 +1,7 @@
 """Vectorised work on UTF-8 bytes of Arrow batches, shared by the operators.
 
 All hashes are 64-bit and depend on bytes alone, so every executor computes
-the same ones.  Work is cut into pieces of a few megabytes: the temporary
+the same ones.  Work is cut into pieces of 256 KB: the temporary
 arrays of a piece are its size times a constant, whatever the batch holds.
 """
 
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(0x5EED)
 #: A random odd 64-bit value for each byte value.

@@ -144,11 +144,12 @@ class TokenPool:
             new = np.flatnonzero(got < 0)
             if len(new):
                 got[new] = made = self._encoded(missing[first[new]], data, starts, lengths, kinds, head, tail)
-                self.index.update(zip(distinct[new].tolist(), made.tolist()))
                 slots = (distinct[new] & np.uint64(self.SLOTS - 1)).astype(np.int64)
                 free = self.slot[slots] < 0
                 self.keys[slots[free]], self.slot[slots[free]] = distinct[new][free], made[free]
-                # of two that took one slot the last one stands, with its own key
+                # of two that took one slot the last one stands, with its own key; those without a slot are found by the index
+                other = self.keys[slots] != distinct[new]
+                self.index.update(zip(distinct[new][other].tolist(), made[other].tolist()))
             out[missing] = got[back]
         wrong = self._others(out, data, starts, lengths, head, tail)
         if len(wrong):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import pieces, utf8
 from trustloom.llm._units import OTHER_SCRIPT, TokenPool, hashed_units
-from trustloom.llm._worker import kept
+from trustloom.llm._worker import kept, lean
 
 #: Fixed value: the pre-token pattern that the rank files go with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -63,25 +63,26 @@ class MergeTransducer:
         self._forget()
 
     def _trie(self) -> None:
-        go: dict[tuple[int, int], int] = {}
+        go: dict[int, int] = {}  # by node * 256 + byte
         depth, token = [0], [-1]
         for t, r in self.ranks.items():
             node = 0
             for b in t:
-                child = go.get((node, b))
+                child = go.get(node << 8 | b)
                 if child is None:
-                    child = go[node, b] = len(depth)
+                    child = go[node << 8 | b] = len(depth)
                     depth.append(depth[node] + 1)
                     token.append(-1)
                 node = child
             token[node] = r
         fail, shorter = [0] * len(depth), [0] * len(depth)
-        for (node, b), child in sorted(go.items(), key=lambda x: depth[x[1]]):
+        for edge, child in sorted(go.items(), key=lambda x: depth[x[1]]):
+            node, b = edge >> 8, edge & 255
             if node:
                 f = fail[node]
-                while f and (f, b) not in go:
+                while f and f << 8 | b not in go:
                     f = fail[f]
-                fail[child] = go.get((f, b), 0)
+                fail[child] = go.get(f << 8 | b, 0)
             # the nearest node down the failure links that is a token
             f = fail[child]
             shorter[child] = f if token[f] >= 0 else shorter[f]
@@ -124,9 +125,9 @@ class MergeTransducer:
 
     def _move(self, state: int, byte: int) -> int:
         node, window = self.keys[state]
-        while node and (node, byte) not in self.go:
+        while node and node << 8 | byte not in self.go:
             node = self.fail[node]
-        node = self.go.get((node, byte), 0)
+        node = self.go.get(node << 8 | byte, 0)
         t = node if self.token[node] >= 0 else self.shorter[node]
         while t:
             # window[-d] belongs to the prefix that ends d bytes before the new one
@@ -276,7 +277,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), ids], names=[id_col, "ids"])
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"{id_col} {kind.simpleString()}, ids array<int>")
+    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lean(run), f"{id_col} {kind.simpleString()}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -320,4 +321,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(all_ids).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
+    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lean(run), f"{id_col} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from trustloom.llm import _bloom
 from trustloom.llm._bytes import LOWER, U64, mix, pieces, shingles, span_hashes, spans, utf8
 from trustloom.llm._shared import written
+from trustloom.llm._worker import lean
 
 WINDOW, LITERALS, RUN = 8, 5, 13
 #: Entries of the filter for each window: with 24 bits an entry, one of 36,000 other windows passes.
@@ -166,7 +167,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
                 of = pa.array(row + which)
                 yield _table([pa.array(found.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(place), pa.array(total), _slices(raw, begin, size), _slices(kind, begin, size)], ["hash", "item", "said", "place", "n_item", "own", "kinds"])
 
-    return items.mapInArrow(run, _WINDOWS)
+    return items.mapInArrow(lean(run), _WINDOWS)
 
 
 def suspected_windows(docs: DataFrame, held) -> DataFrame:
@@ -189,7 +190,7 @@ def suspected_windows(docs: DataFrame, held) -> DataFrame:
                 doc = _slices(raw, first[which] + place, np.minimum(np.diff(first)[which], WINDOW))
                 yield _table([batch.column(0).take(of), batch.column(1).take(of), pa.array(found[hits].view(np.int64)), pa.array(place), doc], ["row", "id", "hash", "at", "doc"])
 
-    return docs.mapInArrow(run, f"row long, id {kind}, hash long, at long, doc binary")
+    return docs.mapInArrow(lean(run), f"row long, id {kind}, hash long, at long, doc binary")
 
 
 def longest_run(found) -> tuple[int, bool]:
@@ -269,5 +270,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     order = ["row", "item", "said", "shift", "at"]
     # rows of one document and item meet; their number is bounded by the document's length times the alignments it has with the item
-    out = found.repartition("row", "item", "said").sortWithinPartitions(*order).mapInArrow(run, f"row long, `{id_col}` {kind}, item_id long, n_matched long, n_item long, coverage double, exact boolean")
+    out = found.repartition("row", "item", "said").sortWithinPartitions(*order).mapInArrow(lean(run), f"row long, `{id_col}` {kind}, item_id long, n_matched long, n_item long, coverage double, exact boolean")
     return out.drop("row") if row_col is None else out.withColumnRenamed("row", row_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import pieces, utf8
-from trustloom.llm._worker import kept
+from trustloom.llm._worker import kept, lean
 
 WINDOW = 96
 HIDDEN = 8
@@ -32,6 +32,8 @@ SAMPLE, SLICES, SLICE_CHARS = 250, 4, 80
 MOST_LANGUAGES = 256
 STEPS, BATCH, RATE = 260, 96, 0.015
 BLOCK = 4096
+#: Bytes of texts whose windows fill some blocks.
+PIECE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -219,19 +221,20 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
         languages, weights = held.value
         net = kept(f"net {name}", lambda: ByteGru(languages, weights))
         for batch in batches:
-            pred, score = [], []
             known = batch.column(0).to_pylist()
             offsets, data = utf8(batch.column(at_text))
-            for row, at, part in pieces(offsets, data):
+            for row, at, part in pieces(offsets, data, PIECE):
+                pred, score = [], []
                 chances = net.pooled(at, part) if languages else np.zeros((len(at) - 1, 1))
                 best = chances.argmax(axis=1)
                 for k, b in enumerate(best.tolist()):
                     sure = known[row + k] and bool(languages)
                     pred.append(languages[b] if sure else UNKNOWN)
                     score.append(min(1.0, float(chances[k, b])) if sure else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                columns = batch.slice(row, len(pred)).columns[1 : 1 + len(names)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"{fields}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

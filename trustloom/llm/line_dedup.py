@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import utf8
 from trustloom.llm._shared import written
+from trustloom.llm._worker import lean
 
 WHITE = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 1 << 16
+#: Texts that a task holds in several forms at once.
+ROWS = 500
 MOST_LOG2_BITS = 30
 BITS_PER_DOCUMENT = 512
 PROBES = 4
@@ -105,8 +108,8 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, least: int, segmen
         if held is not None and twice.any():
             yield done()
 
-    parts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col).mapInArrow(local, "segment int, once binary, twice binary")
-    return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
+    parts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col).mapInArrow(lean(local), "segment int, once binary, twice binary")
+    return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(lean(merge), "segment int, bits binary")
 
 
 def _digest(key: bytes) -> bytes:
@@ -133,7 +136,7 @@ def suspects(docs: DataFrame, known, id_col: str, text_col: str, least: int, seg
                         found.append(_digest(key))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["line", "id"])
 
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"line binary, id {kind.simpleString()}")
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(lean(run, ROWS), f"line binary, id {kind.simpleString()}")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
@@ -180,7 +183,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     drops = dropped_lines(docs, id_col, text_col, least).toDF("__id", "__lines")
     rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).join(drops, F.col(id_col) == F.col("__id"), "left")
-    return rows.select(id_col, "__text", "__lines", *keep).mapInArrow(run, f"{fields}, n_lines long, n_dropped long, {last} string")
+    return rows.select(id_col, "__text", "__lines", *keep).mapInArrow(lean(run, ROWS), f"{fields}, n_lines long, n_dropped long, {last} string")
 
 
 #: DuckDB SQL for the rows of op9.

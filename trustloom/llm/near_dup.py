@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm._bytes import U64, mix, pieces, shingles, utf8, words
 from trustloom.llm._shared import parallelism, written
+from trustloom.llm._worker import lean
 from trustloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -120,7 +121,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), *arrays], names=["id", "n", "whole", "bands", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, whole binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(lean(run), "id long, n long, whole binary, bands array<long>, sketch array<long>")
 
 
 def _near(left: str, right: str, limit: int):
@@ -166,7 +167,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -232,7 +233,7 @@ def _links_by_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, width:
 
     wanted = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
     full = wanted.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "bands", "sketch", "text")
-    full = written(full.mapInArrow(sets, "rep long, bands array<long>, sketch array<long>, shingles binary"), "sets")
+    full = written(full.mapInArrow(lean(sets), "rep long, bands array<long>, sketch array<long>, shingles binary"), "sets")
     limit = sketch_limit(percent / 100)
 
     def run(batches):
@@ -252,7 +253,7 @@ def _links_by_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, width:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
     cells = left.union(right).join(full, "rep").select("key", "x", "y", "side", "rep", "component", "bands", "sketch", "shingles")
-    return cells.repartition(parallelism(rest.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+    return cells.repartition(parallelism(rest.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _with_component(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
